@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pii, quality, sharding
+from . import html_text, langid, mixing, pii, quality, sharding
 from .common import read
 
 
@@ -24,9 +24,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_all(read(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_quality_rules, op5_language_id, op8_sharding, op10_pii)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_quality_rules, op5_language_id, op8_sharding, op9_html_extraction, op10_pii)}
 SQL = {"op3_mixing": mixing.ORACLE}
