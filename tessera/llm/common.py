@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 #: The white space of every contract here: ASCII only.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -44,7 +45,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers wherever the session runs."""
+    """Make this package importable by Python workers wherever the session runs.
+
+    Arrow batches are held to BATCH_ROWS rows, as rows of whole texts are wide and both
+    the JVM and the worker hold a batch in full.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_tessera_shipped", False):
         return

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE = 1 << 19
+SLICE = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240229))
 CODES = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 LOWER_CODES = CODES.copy()
@@ -41,7 +41,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n of a base and of its inverse, modulo 2**64."""
     have = _powers.get(which)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, SLICE + 1)
+        size = max(n + n // 4 + 1, SLICE + 1)
         up, down = np.full(size, BASES[which], U), np.full(size, INVERSES[which], U)
         up[0] = down[0] = U(1)
         have = _powers[which] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
