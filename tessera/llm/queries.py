@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, mixing, pii, quality, sharding, tokens
+from . import html_text, langid, mixing, neardup, pii, quality, sharding, tokens
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op3_mixing, op4_quality_rules, op5_language_id, op8_sharding, op9_html_extraction, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_token_output, op3_mixing, op4_quality_rules, op5_language_id, op6_minhash_neardup, op8_sharding, op9_html_extraction, op10_pii)}
 SQL = {"op3_mixing": mixing.ORACLE}
