@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, mixing, neardup, pii, quality, sharding, tokens
+from . import decontam, html_text, langid, mixing, neardup, pii, quality, sharding, tokens
 from .common import read
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_all(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,5 +45,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op3_mixing, op4_quality_rules, op5_language_id, op6_minhash_neardup, op8_sharding, op9_html_extraction, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_mixing, op4_quality_rules, op5_language_id, op6_minhash_neardup, op8_sharding, op9_html_extraction, op10_pii)}
 SQL = {"op3_mixing": mixing.ORACLE}
