@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, mixing, neardup, pii, quality, sharding, tokens
+from . import decontam, html_text, langid, mixing, neardup, pii, quality, sharding, substrings, tokens
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(read(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_mixing, op4_quality_rules, op5_language_id, op6_minhash_neardup, op8_sharding, op9_html_extraction, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_output, op3_mixing, op4_quality_rules, op5_language_id, op6_minhash_neardup, op7_suffix_dedup, op8_sharding, op9_html_extraction, op10_pii)}
 SQL = {"op3_mixing": mixing.ORACLE}
