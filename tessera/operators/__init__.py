@@ -1,0 +1 @@
+"""Relational operators that the analyzer composes plans of."""
