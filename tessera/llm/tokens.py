@@ -10,6 +10,7 @@ a part is padded, and its mask says where.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,18 +30,35 @@ from .common import shared_path, ship, stage
 LENGTH = 2048
 #: Sequences in a record batch.
 ROWS = 256
-#: Entries of a worker's cache of word ids; it is emptied when full.
-CACHE = 600_000
-# How the tokenizer's own rules cut ASCII words once they are in lower case.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
+#: Entries of a worker's cache of piece ids; it is emptied when full.
+CACHE = 1_000_000
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: How a tokenizer with RULES cuts a lower-case text of ASCII and Latin-1 letters.
+PIECE = re.compile(rf"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\x09-\x0d\x20{LETTERS}0-9]+")
+#: Anything else, and what may begin a special token.
+ODD = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]|<\\|")
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+END = "</w>"
+#: Leads words that go to the tokenizer; no piece has such a character.
+MARK = "\uffff"
 
 
 class Encoder:
-    """Encodes whole texts as the tokenizer does, remembering the ids of words.
+    """Encodes whole texts as the tokenizer does, remembering the ids of pieces.
 
-    Blanks and line feeds always end a token here, so a text's ids are those of its
-    blank-separated words; ASCII words are further cut as the tokenizer cuts them.
-    A word with `<|` might be a special token and goes to the tokenizer as it is.
+    If the tokenizer cuts a text by RULES before it merges, the ids of a text are those
+    of its pieces. Texts of ASCII and Latin-1 letters are cut here; of others, the
+    blank-separated words that have other characters (or might be special tokens) go
+    to the tokenizer as they are. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,40 +67,54 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2") if max(vocabulary.values(), default=0) < 1 << 16 else np.dtype("<u4")
+        own = json.loads(self.tokenizer.to_str())
+        self.cuts = all(own[k] == v for k, v in RULES.items()) and own["model"].get("end_of_word_suffix") == END
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
         self.pieces: dict[str, bytes] = {}
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, missing: list[str]) -> None:
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        plain = [w for w in missing if w.isascii() and "<|" not in w]
-        other = [w for w in missing if not w.isascii() or "<|" in w]
-        cut = [PIECE.findall(w.lower()) for w in plain]
-        new = list({p for c in cut for p in c if p not in self.pieces})
-        ids = self.encode_words(new + other)
-        self.pieces.update(zip(new, ids, strict=False))
-        self.words.update(zip(other, ids[len(new) :], strict=True))
-        of = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(of, c))) for w, c in zip(plain, cut, strict=True))
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes pieces as one text: each ends with its only end-of-word token."""
+        for at in range(0, len(new), 50_000):
+            some = new[at : at + 50_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and (not len(ids) or ends[-1] == len(ids)):
+                data, size = ids.tobytes(), self.dtype.itemsize
+                cuts = [0, *(ends * size).tolist()]
+                self.pieces.update((p, data[cuts[k] : cuts[k + 1]]) for k, p in enumerate(some))
+            else:
+                self.pieces.update(zip(some, self.direct(some), strict=True))
+
+    def cut(self, text: str) -> list[str]:
+        if not ODD.search(text):
+            return PIECE.findall(text.lower())
+        out = []
+        for word in text.replace("\n", " ").split(" "):
+            out += [MARK + word] if ODD.search(word) else PIECE.findall(word.lower())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set().union(*split)
-        missing = need.difference(self.words)
-        if missing:
-            if len(self.words) + len(missing) > CACHE:
-                self.words.clear()
-                missing = need
-            self.learn(list(missing))
-        of = self.words.__getitem__
-        return [b"".join(map(of, s)) for s in split]
+        if not self.cuts:
+            return self.direct(texts)
+        cut = [self.cut(t) for t in texts]
+        need = set().union(*cut)
+        new = need.difference(self.pieces)
+        if new:
+            if len(self.pieces) + len(new) > CACHE:
+                self.pieces.clear()
+                new = need
+            odd = [p for p in new if p[0] == MARK]
+            self.learn([p for p in new if p[0] != MARK])
+            self.pieces.update(zip(odd, self.direct([p[1:] for p in odd]), strict=True))
+        of = self.pieces.__getitem__
+        return [b"".join(map(of, c)) for c in cut]
 
 
 @cache
