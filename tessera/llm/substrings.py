@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -220,51 +219,75 @@ def edge_contexts(docs: DataFrame, edges: DataFrame, buckets: int) -> DataFrame:
     return met.select("doc", "th", "text", "e").mapInArrow(run, "bucket int, g long, doc long, th int, off int, left int, context binary")
 
 
+def window_keys(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of each context (row) and each start before its mark (column): the hash of the window, or LAST if it has none."""
+    size = np.diff(at)
+    out = np.full((len(left), SPAN + 1), LAST, K.U)
+    for i in range(0, len(left), 2048):
+        j = min(i + 2048, len(left))
+        h = K.prefix(data[at[i] : at[j]])
+        for back in range(SPAN + 1):
+            own = np.flatnonzero((left[i:j] >= back) & (size[i:j] - left[i:j] + back >= LENGTH))
+            start = at[i + own] - at[i] + left[i + own] - back
+            out[i + own, back] = K.spans_hash(h, start, start + LENGTH)
+    return out
+
+
+def covered_windows(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts in the order of their places, those of a gram together -> the nearest and farthest start before
+    the mark of a window that an earlier context has too; the farthest is -1 if there is none."""
+    keys = window_keys(data, at, left)
+    near = np.full(len(left), LENGTH, np.int64)
+    far = np.full(len(left), -1, np.int64)
+    line = np.arange(LENGTH)
+    for back in range(SPAN + 1):
+        order = np.argsort(keys[:, back], kind="stable")
+        order = order[: np.searchsorted(keys[order, back], LAST)]
+        if not len(order):
+            continue
+        key = keys[order, back]
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        start = at[order] + left[order] - back
+        rest = np.flatnonzero(~first)
+        for part in np.array_split(rest, max(1, len(rest) // 4096)):
+            # windows of equal hash are verified; one unlike the first of its hash is compared with those between
+            same = (data[start[part][:, None] + line] == data[start[lead[part]][:, None] + line]).all(axis=1)
+            for k in np.flatnonzero(~same).tolist():
+                r = part[k]
+                own = data[start[r] : start[r] + LENGTH]
+                same[k] = any((data[start[q] : start[q] + LENGTH] == own).all() for q in range(lead[r] + 1, r))
+            hit = order[part[same]]
+            near[hit] = np.minimum(near[hit], back)
+            far[hit] = back
+    return near, far
+
+
 def settle_edges(contexts: DataFrame) -> DataFrame:
     """doc, th, start, end of what the windows through edge marks cover."""
     def run(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
         g, doc, th, off, left = (t.column(c).to_numpy() for c in ("g", "doc", "th", "off", "left"))
         order = np.lexsort((off, th, doc, g))
         fresh = np.ones(len(order), bool)
-        for_ = [v[order] for v in (g, doc, th, off)]
-        fresh[1:] = np.any([v[1:] != v[:-1] for v in for_], axis=0)
+        fresh[1:] = np.any([v[order][1:] != v[order][:-1] for v in (g, doc, th, off)], axis=0)
         order = order[fresh]
-        g, doc, th, off, left = (v[order] for v in (g, doc, th, off, left))
-        context = t.column("context").take(pa.array(order)).combine_chunks()
-        if isinstance(context, pa.ChunkedArray):
-            context = context.chunk(0) if context.num_chunks else pa.array([], pa.binary())
-        size = pc.binary_length(context).to_numpy().astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(size)])
-        data = np.frombuffer(b"".join(context.to_pylist()), np.uint8)
-        h = K.prefix(data)
-        low = np.full(len(g), LENGTH, np.int64)
-        high = np.full(len(g), -1, np.int64)
-        for back in range(SPAN + 1):
-            # the window starts `back` bytes before the mark
-            own = np.flatnonzero((left >= back) & (size - left + back >= LENGTH))
-            start = at[own] + left[own] - back
-            key = K.spans_hash(h, start, start + LENGTH)
-            by = np.argsort(key, kind="stable")
-            key, own, start = key[by], own[by], start[by]
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(key) else by
-            rest = np.flatnonzero(~first)
-            if not len(rest):
-                continue
-            # windows of equal hash are verified; one that differs from the first of its hash is looked up by its bytes
-            same = np.concatenate([(data[start[r][:, None] + np.arange(LENGTH)] == data[start[lead[r]][:, None] + np.arange(LENGTH)]).all(axis=1) for r in np.array_split(rest, max(1, len(rest) // 20_000))])
-            for r in rest[~same].tolist():
-                bytes_ = data[start[r] : start[r] + LENGTH].tobytes()
-                if any(data[start[q] : start[q] + LENGTH].tobytes() == bytes_ for q in range(lead[r] + 1, r)):
-                    same[np.searchsorted(rest, r)] = True
-            covered = own[rest[same]]
-            low[covered] = np.minimum(low[covered], back)
-            high[covered] = np.maximum(high[covered], back)
-        hit = np.flatnonzero(high >= 0)
-        # all these windows hold the mark, so their union is one range
-        return pa.table([pa.array(doc[hit]), pa.array(th[hit]), pa.array((off[hit] - high[hit]).astype(np.int32)), pa.array((off[hit] - low[hit] + LENGTH).astype(np.int32))], names=["doc", "th", "start", "end"])
+        g, doc, th, off, left = (v[order] for v in (g, doc, th, off, left.astype(np.int64)))
+        new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        column, out, i = t.column("context"), [], 0
+        while i < len(g):
+            # whole grams, about 8192 contexts at a time
+            k = int(np.searchsorted(new, i + 8192))
+            j = int(new[k]) if k < len(new) else len(g)
+            own = column.take(pa.array(order[i:j])).to_pylist()
+            at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            near, far = covered_windows(np.frombuffer(b"".join(own), np.uint8), at, left[i:j])
+            hit = i + np.flatnonzero(far >= 0)
+            # all windows of a context hold its mark, so their union is one range
+            out.append((doc[hit], th[hit], (off[hit] - far[hit - i]).astype(np.int32), (off[hit] - near[hit - i] + LENGTH).astype(np.int32)))
+            i = j
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table([pa.array(c) for c in cols], names=["doc", "th", "start", "end"])
 
     return contexts.groupBy("bucket").applyInArrow(run, "doc long, th int, start int, end int")
 
@@ -287,7 +310,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stage(settle_contexts(send_marks(keyed.select("doc", "th", "text"), buckets)), "repeats")
     edges = found.filter(F.col("g").isNotNull())
     touched = keyed.select("doc", "th", "text").filter(maybe_in(edges))
-    more = settle_edges(edge_contexts(touched, edges, buckets))
+    more = settle_edges(edge_contexts(touched, edges, 4 * buckets))
     covers = stage(found.filter(F.col("g").isNull()).select("doc", "th", "start", "end").unionByName(more), "covers")
     return keyed, covers
 
