@@ -135,7 +135,8 @@ class Analyzer:
                         hidden.append(name)
                         col = F.col(name)
                 keys.append(col.desc_nulls_last() if desc else col.asc_nulls_first())
-            df = df.orderBy(*keys)
+            # ties go by all values, so that LIMIT takes the same rows each time
+            df = df.orderBy(*keys, *[F.col(c.internal).asc_nulls_first() for c in out.cols])
         if q.offset is not None:
             df = df.offset(self.constant(q.offset, "offset"))
         if q.limit is not None:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
+from tessera.functions.scalar import FUNCTIONS, Function, Overload
 from tessera.operators import replay
 from tessera.plans.analyzer import Analyzer, output
 from tessera.plans.parser import parse
@@ -53,6 +55,16 @@ class Engine:
         """What reads files of an extension, or the tables of databases of this type."""
         self.catalog.readers[extension] = reader
 
+    def register_source(self, source: type[DataSource]) -> None:
+        """A Python data source: its name is then an extension, or the type of a database (option `table`)."""
+        self.spark.dataSource.register(source)
+        self.catalog.readers[source.name()] = lambda spark, table, options: spark.read.format(source.name()).options(**options).option("table", table).load()
+
+    def register_function(self, name: str, arguments: str, result: Type, build: Callable[..., Column], description: str = "") -> None:
+        """One more overload of a scalar function: arguments are kinds such as `String Int`, build makes a Column of theirs."""
+        f = FUNCTIONS.setdefault(name.lower(), Function(description))
+        f.overloads.append(Overload(tuple(arguments.split()), result, build))
+
     def query(self, text: str) -> Query:
         return Query(self, text)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from typing import TextIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tessera.errors import QueryError
 from tessera.session import Engine, Query
+from tessera.sinks import shown, table_text
 
 COUNTED = ("count", "sum", "avg", "min", "max")
 
@@ -122,3 +124,16 @@ def poll(engine: Engine, text: str, sink: Callable[[DataFrame, int], None], roun
         if rounds is None or turn < rounds:
             time.sleep(getattr(q.relation, "poll_us", 1_000_000) / 1e6)
     return turn
+
+
+def live_table(engine: Engine, text: str, out: TextIO, checkpoint: str, once: bool = False, interval: str = "250 milliseconds") -> StreamingQuery:
+    """Prints the whole current result as a table after each micro-batch; a query without GROUP BY prints what is new."""
+    q = engine.query(text)
+    names, right = [n for n, _ in q.columns], [t.kind in ("Int", "Float") for _, t in q.columns]
+    grouped = bool(getattr(q.tree, "group", None))
+
+    def show(df: DataFrame, _: int) -> None:
+        rows = [[shown(v, t) for v, (_, t) in zip(r, q.columns, strict=True)] for r in df.select(*[f"`{n}`" for n in names]).orderBy(*[f"`{n}`" for n in names]).collect()]
+        out.write(table_text(names, rows, right))
+
+    return start(engine, text, show, checkpoint, "complete" if grouped else None, once, None if once else interval)
