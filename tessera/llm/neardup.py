@@ -2,10 +2,13 @@
 
 One hash function serves all: a document's sketch is its k smallest shingle
 hashes. Equal sets are one class from the start, so copies never meet pairwise.
-A link of Jaccard >= 0.8 shares at least SHARE of the sketch (a binomial tail of
-about 1e-8 at 0.8, less at 0.85), hence, by the prefix principle, one of its rarest values; inverted
-lists over those values propose pairs, the sketch of the union estimates them, and
-the full sets decide.
+Inverted lists over the retained values count what classes have in common: a link
+of Jaccard >= 0.8 shares at least SHARE of the sketch (but for a binomial tail of
+1e-8), and a class that shares less with all others together has no link. The rest,
+the candidates, get inverted lists over the rarest values of their full sets (the
+prefix principle, exact) and are paired there, if sizes and the places of the common
+value allow a link; the sketch of the union estimates each pair, and the full sets
+decide.
 
 A list's members are compared with one pivot. What is then in one component needs
 nothing more; only members outside the list's largest component are compared with
@@ -32,7 +35,7 @@ SKETCH = 32
 #: The least share of a sketch that linked documents have in common.
 SHARE = 0.375
 #: Rounds of pivots before what is left of the lists is compared outright, and the work below which that is done earlier.
-PIVOTS = 4
+PIVOTS = 3
 REST = 8
 
 
@@ -71,13 +74,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set (binary of sorted hashes) of the documents in ids (id)."""
+    """id, set (sorted hashes) of the documents in ids (id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([s.tobytes() for s in shingles(x.column("text"))], pa.binary())], ["id", "set"])
+            sets = pa.array([s.view(np.int64) for s in shingles(x.column("text"))], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), sets], ["id", "set"])
 
     own = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return own.mapInArrow(run, "id long, set binary")
+    return own.mapInArrow(run, "id long, set array<long>")
 
 
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -88,62 +92,77 @@ def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     near = near.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= F.lit(SHARE) * F.size("u")).select("a", "b")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column("x"), t.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_py(), K.U), np.frombuffer(y.as_py(), K.U)
-                both_ = np.sort(np.concatenate([p, q]))
-                common = int((both_[1:] == both_[:-1]).sum())
-                ok.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    # in the JVM, a row at a time: sets of very long texts would make large Arrow batches
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def shared_values(values: DataFrame) -> DataFrame:
+    """values (id, v) -> id, v, df of the values that others have too."""
+    return values.join(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "v")
+
 
-    return both.mapInArrow(run, "a long, b long")
+def candidates(reps: DataFrame) -> DataFrame:
+    """id of the classes that share enough of their sketch with others to have a link at all."""
+    shared = shared_values(reps.select("id", F.explode("sketch").alias("v"))).groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    least = F.greatest(F.lit(1), F.floor(F.lit(SHARE) * F.size("sketch")))
+    return shared.join(reps.select("id", "sketch"), "id").filter(F.col("shared") >= least).select("id")
 
 
-def candidate_lists(reps: DataFrame) -> DataFrame:
-    """v, id, n: each class in the inverted lists of its rarest shared sketch values."""
-    values = reps.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
-    common = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = values.join(common, "v").groupBy("id", "n", "s").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))  # at most SKETCH values
-    least = F.greatest(F.lit(1), F.floor(F.lit(SHARE) * F.col("s"))).cast("int")
-    # values of no one else are the rarest, so they fill the prefix first
-    prefix = F.col("s") - least + 1 - (F.col("s") - F.size("own"))
-    return shared.withColumn("p", prefix).filter("p > 0").select("id", "n", F.explode(F.slice("own", 1, F.col("p"))).alias("x")).select(F.col("x.v").alias("v"), "id", "n")
+def inverted_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """v, id, n, p: each candidate in the inverted lists of its prefix, with the place of v among its values.
+
+    A set's values are ordered from the rarest on, those of no one else first. A linked
+    set has at least percent of them in common with the other, so one of the first
+    n - ceil(percent n) + 1. Lists of equal members propose equal pairs: the first in
+    that order stays.
+    """
+    own = shared_values(sets.select("id", F.explode("set").alias("v"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))  # as many as a text's values at most
+    own = own.join(sets.select("id", F.size("set").alias("n")), "id").withColumn("u", F.col("n") - F.size("own"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("u")).cast("int")
+    lists = own.filter(prefix > 0).select("id", "n", "u", F.posexplode(F.slice("own", 1, prefix)).alias("at", "x")).select("x.df", "x.v", "id", "n", (F.col("u") + F.col("at")).alias("p"))
+    by = lists.groupBy("df", "v").agg(F.min("n").alias("nm"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("s2")).filter("k > 1")
+    first = by.groupBy("k", "s1", "s2").agg(F.min(F.struct("df", "v")).alias("x"), F.min("nm").alias("nm"))
+    # no member of the list reaches a link with more values behind it
+    smallest = F.greatest(F.col("nm"), F.col("n") * percent / 100)
+    return lists.join(first.select("x.v", "nm"), "v").filter((F.col("n") - F.col("p")) * (100 + percent) >= percent * (F.col("n") + smallest)).select("v", "id", "n", "p")
 
 
-def comparable(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def possible(percent: int) -> Column:
+    """Whether a pair whose first common value is the list's can be linked: it has no more in common than what follows."""
+    most = F.least(F.col("n") - F.col("p"), F.col("on") - F.col("op"))
+    return most * (100 + percent) >= percent * (F.col("n") + F.col("on"))
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """node, component of the classes (id) that are linked to others."""
-    lists = candidate_lists(reps)
-    lists = stage(lists, "neardup-lists")
-    sets = stage(set_table(docs, lists.select("id").distinct()), "neardup-sets")
+    sets = stage(set_table(docs, candidates(reps)), "neardup-sets")
+    lists = stage(inverted_lists(sets, percent), "neardup-lists")
     spark = docs.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     comp = spark.createDataFrame([], "node long, component long")
-    for turn in range(PIVOTS + 2):
-        now = lists.join(comp, F.col("id") == F.col("node"), "left").select("v", "id", "n", F.coalesce("component", "id").alias("c"))
+    for turn in range(PIVOTS + 1):
+        now = lists.join(comp, F.col("id") == F.col("node"), "left").select("v", "id", "n", "p", F.coalesce("component", "id").alias("c"))
         by = now.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k"))
         open_ = by.groupBy("v").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        now = stage(now.join(open_, "v").select("v", "id", "n", "c", "main", "all", "most"), "neardup-open")
+        now = stage(now.join(open_, "v").select("v", "id", "n", "p", "c", "main", "all", "most"), "neardup-open")
         rows, work = now.agg(F.count(F.lit(1)), F.sum(F.col("all") - F.col("most"))).first()
         if not rows:
             break
-        outside = now.filter("c <> main")
         last = turn == PIVOTS or (turn > 0 and work <= REST * rows)
+        outside = now.filter("c <> main")
         if not last:
-            # one pivot a list, outside the largest component
-            outside = outside.groupBy("v").agg(F.min_by(F.struct("id", "n", "c"), F.xxhash64("id")).alias("x")).select("v", "x.*")
-        o = outside.select("v", F.col("id").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"))
-        met = now.join(o, "v").filter((F.col("c") != F.col("oc")) & comparable("n", "on", percent))
+            # one pivot a list, outside the largest component: the one with the fewest rarer values
+            outside = outside.groupBy("v").agg(F.min_by(F.struct("id", "n", "p", "c"), F.struct("p", "id")).alias("x")).select("v", "x.*")
+        o = outside.select("v", F.col("id").alias("o"), F.col("n").alias("on"), F.col("p").alias("op"), F.col("c").alias("oc"))
+        met = now.join(o, "v").filter((F.col("c") != F.col("oc")) & possible(percent))
         met = met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
         edges = stage(verify(met, reps, sets, percent).unionByName(edges), "neardup-links")
         comp = components(edges)
         if last:
             break
+        # a pivot has met all of its list; lists in one component stay so
+        lists = now.join(o.select("v", F.col("o").alias("id")), ["v", "id"], "left_anti").select("v", "id", "n", "p")
     return comp
 
 
