@@ -11,7 +11,10 @@ by prefix polynomial hashes, and equal ones are verified byte by byte.
 
 Only marks travel (about 1 in 31 bytes), packed in blocks; copies within a block of
 documents are settled there, so a passage of very many documents sends a mark per
-block. Texts move only for documents with an edge or with something removed.
+block. A gram in very many different contexts (a line that a third of the documents
+have) would still meet in one task: such hot grams are found in a sample, and their
+marks are sent as the windows through them, dealt by the hash of the window. Texts
+move only for documents with an edge or with something removed.
 """
 
 from __future__ import annotations
@@ -39,9 +42,13 @@ BLOCK = 400_000
 BUCKET_BYTES = 16 << 20
 #: Bits of the filter that spares documents without an edge or cover from the exchange; when full it spares none.
 FILTER_BITS = 1 << 24
+#: Hot grams: so many marks in a sample of one document in SAMPLE (of at most a million), and more than HOT_SHARE of its marks.
+SAMPLE, SAMPLED = 64, 1_000_000
+HOT_LEAST, HOT_SHARE = 1000, 1e-6
 LAST = np.uint64(2**64 - 1)
 #: A mark: gram hash, context hash, document, hash of its text, offset, bytes of context to the left and right.
 MARK = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("off", "<i4"), ("left", "i1"), ("right", "i1")])
+WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("start", "<i4")])
 PLACE = np.dtype([("doc", "<i8"), ("th", "<i4"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -55,13 +62,13 @@ def sliding(a: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return a
 
 
-def marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the marks in a slice: text, offset in it, bytes of context to the left and right, gram and context hash."""
+def marks(data: np.ndarray, offsets: np.ndarray, h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the marks in a slice: text, place in the slice, bytes of context to the left and right, gram and
+    context hash. h, h2: the prefix hashes."""
     n = len(data) - GRAM + 1
     empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return empty, empty, empty, empty, empty.astype(K.U), empty.astype(K.U)
-    h = K.prefix(data)
     down = K.powers(len(h))[1]
     g = K.mix((h[GRAM:] - h[:-GRAM]) * down[:n])
     # grams over the border of two texts are none
@@ -78,8 +85,16 @@ def marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at, of = at[long_enough], of[long_enough]
     left = np.minimum(SPAN, at - offsets[of])
     right = np.minimum(SPAN, offsets[of + 1] - at - GRAM)
-    c = K.spans_hash(K.prefix(data, which=1), at - left, at + GRAM + right, 1)
-    return of, at - offsets[of], left, right, g[at], c
+    return of, at, left, right, g[at], K.spans_hash(h2, at - left, at + GRAM + right, 1)
+
+
+def windows_of(at: np.ndarray, left: np.ndarray, right: np.ndarray, h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows through marks: index of the mark, start in the slice, two hashes."""
+    back = np.arange(SPAN + 1)
+    fits = (left[:, None] >= back) & (right[:, None] >= SPAN - back)
+    mark, b = np.nonzero(fits)
+    start = at[mark] - b
+    return mark, start, K.spans_hash(h, start, start + LENGTH), K.spans_hash(h2, start, start + LENGTH, 1)
 
 
 def order_of(m: np.ndarray) -> np.ndarray:
@@ -117,39 +132,85 @@ def covers_of(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def send_marks(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, marks, covers: blocks of marks by gram hash, and what was settled within the block."""
-    def block(parts: list[np.ndarray]) -> pa.RecordBatch:
+def hot_grams(docs: DataFrame, n_docs: int, sample: int = SAMPLE, least: int = HOT_LEAST) -> np.ndarray:
+    """Grams with very many marks, at most 1 / HOT_SHARE of them; missing or excess ones only cost time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for _, _, data, offsets in K.slices(x.column("text")):
+                g, n = np.unique(marks(data, offsets, K.prefix(data), K.prefix(data, which=1))[4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
+
+    some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(max(sample, n_docs // SAMPLED))) == 0)
+    counts = stage(some.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1"), "grams")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter(F.col("n") >= max(least, int(total * HOT_SHARE))).select("g").toArrow()
+    return np.sort(found.column("g").to_numpy().view(K.U))
+
+
+def firsts(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each window, and the ranges that its other places cover."""
+    w = w[np.lexsort((w["start"], w["th"], w["doc"], w["w2"], w["w1"]))]
+    new = np.ones(len(w), bool)
+    new[1:] = (w["w1"][1:] != w["w1"][:-1]) | (w["w2"][1:] != w["w2"][:-1])
+    lead = w[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(w) else w
+    rest = (w["doc"] != lead["doc"]) | (w["th"] != lead["th"]) | (w["start"] != lead["start"])
+    out = np.empty(int(rest.sum()), PLACE)
+    out["doc"], out["th"], out["start"], out["end"] = w["doc"][rest], w["th"][rest], w["start"][rest], w["start"][rest] + LENGTH
+    return w[new], out
+
+
+def send_marks(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """bucket, marks, windows, covers: blocks of marks by gram hash, windows of hot grams by theirs, and what was
+    settled within the block."""
+    def block(parts: list[np.ndarray], wide: list[np.ndarray]) -> pa.RecordBatch:
         m, _, new_c = groups(np.concatenate(parts))
-        done = m[~new_c]
-        covers = covers_of(done)
+        covers = [covers_of(m[~new_c])]
         m = m[new_c]
-        to = (m["g"] % K.U(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        m, to = m[order], to[order]
-        cuts = np.searchsorted(to, np.arange(buckets + 1))
-        where = np.linspace(0, len(covers), buckets + 1).astype(int)
-        own = [b for b in range(buckets) if cuts[b] < cuts[b + 1] or where[b] < where[b + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([m[cuts[b] : cuts[b + 1]].tobytes() for b in own], pa.binary()), pa.array([covers[where[b] : where[b + 1]].tobytes() for b in own], pa.binary())], ["bucket", "marks", "covers"])
+        w = np.concatenate(wide) if wide else np.zeros(0, WINDOW)
+        if len(w):
+            w, more = firsts(w)
+            covers.append(more)
+        covers = np.concatenate(covers)
+        cuts, sent = [], []
+        for x, key in ((m, "g"), (w, "w1")):
+            to = (x[key] % K.U(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            sent.append(x[order])
+            cuts.append(np.searchsorted(to[order], np.arange(buckets + 1)))
+        sent.append(covers)
+        cuts.append(np.linspace(0, len(covers), buckets + 1).astype(int))
+        own = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
+        blobs = [pa.array([x[c[b] : c[b + 1]].tobytes() for b in own], pa.binary()) for x, c in zip(sent, cuts, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *blobs], ["bucket", "marks", "windows", "covers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
+        parts, wide, n = [], [], 0
         for x in batches:
             doc, th = x.column("doc").to_numpy(), x.column("th").to_numpy()
             for i, _, data, offsets in K.slices(x.column("text")):
-                of, off, left, right, g, c = marks(data, offsets)
+                h, h2 = K.prefix(data), K.prefix(data, which=1)
+                of, at, left, right, g, c = marks(data, offsets, h, h2)
+                if len(hot) and (is_hot := np.isin(g, hot)).any():
+                    mark, start, w1, w2 = windows_of(at[is_hot], left[is_hot], right[is_hot], h, h2)
+                    w = np.empty(len(mark), WINDOW)
+                    text = of[is_hot][mark]
+                    w["w1"], w["w2"], w["start"] = w1, w2, start - offsets[text]
+                    w["doc"], w["th"] = doc[i + text], th[i + text]
+                    wide.append(w)
+                    n += len(w)
+                    of, at, left, right, g, c = (v[~is_hot] for v in (of, at, left, right, g, c))
                 m = np.empty(len(of), MARK)
-                m["g"], m["c"], m["off"], m["left"], m["right"] = g, c, off, left, right
+                m["g"], m["c"], m["off"], m["left"], m["right"] = g, c, at - offsets[of], left, right
                 m["doc"], m["th"] = doc[i + of], th[i + of]
                 parts.append(m)
                 n += len(m)
-            if n >= BLOCK:
-                yield block(parts)
-                parts, n = [], 0
+                if n >= BLOCK:
+                    yield block(parts, wide)
+                    parts, wide, n = [], [], 0
         if n:
-            yield block(parts)
+            yield block(parts, wide)
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "bucket int, marks binary, covers binary")
+    return docs.select("doc", "th", "text").mapInArrow(run, "bucket int, marks binary, windows binary, covers binary")
 
 
 def settle_contexts(sent: DataFrame) -> DataFrame:
@@ -157,9 +218,9 @@ def settle_contexts(sent: DataFrame) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         m = np.frombuffer(b"".join(x.as_py() for x in t.column("marks")), MARK)
         covers = np.frombuffer(b"".join(x.as_py() for x in t.column("covers")), PLACE)
+        _, more = firsts(np.frombuffer(b"".join(x.as_py() for x in t.column("windows")), WINDOW))
         m, new_g, new_c = groups(m)
-        done = m[~new_c]
-        covers = np.concatenate([covers, covers_of(done)])
+        covers = np.concatenate([covers, more, covers_of(m[~new_c])])
         # grams with several contexts: each one's first mark is at an edge
         gram = np.cumsum(new_g) - 1
         contexts = np.bincount(gram[new_c], minlength=int(new_g.sum()))
@@ -301,13 +362,14 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[new, 0], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])], axis=1)
 
 
-def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, sample: int = SAMPLE, least: int = HOT_LEAST) -> tuple[DataFrame, DataFrame]:
     """The documents (all columns, with doc and th) and the covered ranges (doc, th, start, end)."""
     ship(docs.sparkSession)
     keyed = docs.withColumn("doc", doc_key(F.col("doc_id"))).withColumn("th", text_key(F.col("text")))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(8, math.ceil(total / BUCKET_BYTES))
-    found = stage(settle_contexts(send_marks(keyed.select("doc", "th", "text"), buckets)), "repeats")
+    texts = keyed.select("doc", "th", "text")
+    found = stage(settle_contexts(send_marks(texts, buckets, hot_grams(texts, n_docs, sample, least))), "repeats")
     edges = found.filter(F.col("g").isNotNull())
     touched = keyed.select("doc", "th", "text").filter(maybe_in(edges))
     more = settle_edges(edge_contexts(touched, edges, 4 * buckets))
@@ -323,14 +385,14 @@ def cut(text: bytes, ranges: np.ndarray) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, sample: int = SAMPLE, least: int = HOT_LEAST) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null text has no bytes. A null id comes after all others; documents of one id are
     ordered by a hash of their text, and identical rows are one document (each row gets
     its result). An empty table gives no rows; other columns are ignored.
     """
-    keyed, covers = repeats(docs)
+    keyed, covers = repeats(docs, sample, least)
     some = maybe_in(covers)
     own = covers.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "end")).alias("c"))  # as many as the text has marks at most
     base = keyed.select("doc_id", "doc", "th", "text")

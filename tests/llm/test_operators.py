@@ -1,0 +1,422 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import components, decontam, langid, mixing, neardup, pii, quality, queries, sharding, substrings, tokens
+from tests.compare import same, views
+from tests.llm import brute
+from tests.llm.conftest import SF
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+# mixing
+
+
+def test_mixing_matches_sql(spark):
+    assert same(queries.op3_mixing(spark, SF), views(SF), mixing.ORACLE) == ""
+
+
+def test_mixing_odd_tables(odd, empty, spark):
+    got = mixing.mix(odd)
+    con = duckdb.connect()
+    table = odd.select("doc_id", "text", "source").toArrow()
+    con.register("documents", table)
+    assert same(got, con, mixing.ORACLE) == ""
+    assert mixing.mix(empty).count() == 0 and mixing.apply_mix(empty).count() == 0
+    assert mixing.apply_mix(odd).columns == odd.columns
+
+
+def test_mixing_targets_water_fill(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10), (None, 100)], "source string, source_size long")
+    got = {r[0]: r[2] for r in mixing.targets(sizes, (5, 2, 1), 3).collect()}
+    # a and c are capped at 30, b and the null source share the rest 2 : 5, of which null is capped at 300
+    assert got == {"a": 30.0, "c": 30.0, None: 300.0, "b": 760.0}
+
+
+def test_applied_mix_repeats_documents(documents):
+    df, _ = documents
+    want = {r[0]: r[4] // r[1] if r[1] else None for r in mixing.mix(df).collect()}
+    got = Counter(r[0] for r in mixing.apply_mix(df).select("doc_id").collect())
+    assert all(got[i] == n for i, n in want.items() if n is not None)
+
+
+# sharding
+
+
+def check_shards(got, n=24):
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r)
+    for own in by.values():
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+    assert set(by) <= set(range(n))
+    return {s: sum(r["size"] for r in own) for s, own in by.items()}
+
+
+def test_sharding_law(documents):
+    df, texts = documents
+    got = sharding.shards(df).collect()
+    sizes = check_shards(got)
+    mean, largest = sum(sizes.values()) / 24, max(r["size"] for r in got)
+    assert max(sizes.values()) - mean <= largest and {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts}
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+
+
+def test_sharding_splits_a_hot_group_and_keeps_small_ones(make):
+    docs = make(*[(i, "hot text " * 5) for i in range(3000)], *[(10_000 + i, f"text {i // 2} " * 10) for i in range(6000)])
+    got = sharding.shards(docs).collect()
+    sizes = check_shards(got)
+    assert max(sizes.values()) < 1.03 * sum(sizes.values()) / 24
+    split = Counter()
+    for t, s in {(r["text_crc32"], r["shard"]) for r in got}:
+        split[t] += 1
+    assert sum(n > 1 for n in split.values()) <= 24
+
+
+def test_sharding_small_parts_have_gapless_slots(documents):
+    df, _ = documents
+    check_shards(sharding.shards(df, part_bytes=5_000).collect())
+    check_shards([r.asDict() | {"size": 1} for r in sharding.apply_shards(df, part_bytes=5_000).collect()])
+
+
+def test_sharding_odd_tables(odd, empty):
+    got = sharding.shards(odd)
+    check_shards(got.collect())
+    assert got.filter("doc_id = 3").select("size", "text_crc32").first() == (8, 0)
+    assert sharding.shards(empty).count() == 0 and sharding.apply_shards(empty).count() == 0
+    assert sharding.apply_shards(odd).count() == odd.count()
+
+
+# quality
+
+
+def test_quality_counts(documents):
+    df, texts = documents
+    got = {r[0]: tuple(r[1:6]) for r in quality.judge_all(df, df.sparkSession.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert got == {i: brute.counts(t) for i, t in texts}
+
+
+def test_quality_keeps_good_and_drops_bad(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op4_quality_rules(spark, sf).collect()}
+    labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    own = [(labels[i], r["kept"]) for i, r in got.items() if i in labels and not r["base_failed"]]
+    assert all(k for q, k in own if q == 1) and sum(not k for q, k in own if q == 0) >= 0.5 * sum(q == 0 for q, _ in own)
+    assert all(r["base_failed"] == (r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]) and not (r["base_failed"] and r["kept"]) for r in got.values())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = quality.keep_good(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_quality_odd_tables(odd, empty, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality.judge_all(odd, labels)
+    assert rows(got, *quality.FEATURES) == sorted((brute.counts(r[0]) for r in odd.select("text").collect()), key=repr)
+    assert all(r["kept"] != r["base_failed"] for r in got.collect())
+    assert quality.judge_all(empty, labels).count() == 0 and quality.keep_good(odd, labels).columns == odd.columns
+
+
+# language
+
+
+def test_language_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op5_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+
+
+def test_language_never_learns_from_held_out(make):
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    docs = make(*[(i, "der die das und nicht" if i % 2 else "the of and is not", "de" if i % 2 else "en") for i in train], *[(i, "le la les et pas", "fr") for i in held])
+    assert {r["lang_pred"] for r in langid.identify(docs).collect()} <= {"de", "en"}
+
+
+def test_language_odd_tables(odd, empty, make):
+    got = {r["doc_id"]: r for r in langid.identify(odd).collect()}
+    assert [got[i]["lang_pred"] for i in (2, 3, 5)] == ["und"] * 3 and got[3]["score"] == 0.0
+    assert got[6]["lang_pred"] != "und" and not got[None]["held_out"]
+    assert langid.identify(empty).count() == 0
+    assert langid.identify(make((1, "123 456", None), (2, "abc", None))).select("lang_pred").distinct().collect()[0][0] == "und"
+
+
+def test_language_many_families(make):
+    words = {"en": "the and of", "de": "der und von", "fr": "le et des", "ru": "и в не", "xx": "zzq qqz zqz"}
+    docs = make(*[(i, f"{words[k]} " * (1 + i % 3), k) for i, k in enumerate(sorted(words) * 20)])
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+# near duplicates
+
+
+def test_near_duplicates_on_the_table(documents):
+    df, texts = documents
+    got = {r[0]: (r[1], r[2]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute.near(texts)
+
+
+def family(rng, n, base, rate):
+    out = []
+    for _ in range(n):
+        out.append(" ".join(w if rng.random() > rate else f"x{rng.integers(1e9)}" for w in base))
+    return out
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicate_families(make, percent):
+    """Copies with edits at many rates, chains, and a line that all share."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _f in range(4):
+        base = [f"w{rng.integers(5000)}" for _ in range(int(rng.integers(30, 150)))]
+        for rate in (0.0, 0.005, 0.01, 0.02, 0.05):
+            texts += family(rng, 12, base, rate)
+        chain = list(base)
+        for _ in range(15):
+            chain[int(rng.integers(len(chain)))] = f"c{rng.integers(1e9)}"
+            texts.append(" ".join(chain))
+    texts = [f"{t} a line that all of them share at the end of it" if i % 2 else t for i, t in enumerate(texts)]
+    pairs = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    got = {r[0]: (r[1], r[2]) for r in neardup.near_duplicates(make(*pairs), percent).collect()}
+    assert got == brute.near(pairs, percent)
+
+
+def test_near_duplicates_odd_tables(odd, empty, make):
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(odd).collect()}
+    assert (2, 0, 2, True) in got and (3, 0, 3, True) in got and (None, 12, None, True) in got and (1, 8, 1, True) in got
+    assert neardup.near_duplicates(empty).count() == 0
+    short = neardup.near_duplicates(make((7, "One two"), (5, "one TWO"), (9, "one two three")))
+    assert rows(short, "doc_id", "n_shingles", "component_id", "kept") == [(5, 1, 5, True), (7, 1, 5, False), (9, 1, 9, True)]
+    assert neardup.drop_near_duplicates(odd).columns == odd.columns
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
+    got = {r[0]: r[1] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    assert all(got.get(x, x) == top(x) for x in list(root))
+
+
+# repeated strings
+
+
+def test_repeats_on_the_table(documents):
+    df, texts = documents
+    got = {r[0]: tuple(r[1:]) for r in substrings.deduplicate(df).collect()}
+    assert got == brute.repeats(texts)
+
+
+def test_repeats_in_adversarial_texts(make):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, other = word(400), word(130)
+    texts = [word(150) + passage + word(60), passage[:250] + word(90), word(20) + passage[120:], "a" * 700, "b" * 99, "a" * 130, (word(30)) * 20, passage[50:149] + "Z", passage[50:150] + "Z", "é" * 80 + other, other + "é" * 80, other]
+    pairs = [(i * 3, t) for i, t in enumerate(texts)]
+    want = brute.repeats(pairs)
+    # the last two: some and all repeated grams are hot
+    for sample, least in ((64, 1000), (1, 3), (1, 1)):
+        assert {r[0]: tuple(r[1:]) for r in substrings.deduplicate(make(*pairs), sample, least).collect()} == want
+
+
+def test_repeats_with_hot_grams_on_the_table(documents):
+    df, texts = documents
+    got = {r[0]: tuple(r[1:]) for r in substrings.deduplicate(df, 1, 4).collect()}
+    assert got == brute.repeats(texts)
+
+
+def test_repeats_odd_tables(odd, empty, make):
+    got = {r[0]: tuple(r[1:]) for r in substrings.deduplicate(odd).collect()}
+    empty_hash = hashlib.sha256(b"").hexdigest()
+    assert got[3] == (0, 0, 0, empty_hash) and got[2] == (0, 0, 0, empty_hash) and got[1][1] == 0
+    assert substrings.deduplicate(odd).count() == odd.count() and substrings.deduplicate(empty).count() == 0
+    t = "0123456789" * 10 + "".join(chr(97 + i % 26) + str(i) for i in range(100))
+    last = {(r[0], r[2]) for r in substrings.deduplicate(make((None, t), (5, t), (5, t))).collect()}
+    # identical rows are one document, and a null id comes last
+    assert last == {(5, brute.repeats([(5, t)])[5][1]), (None, len(t))}
+
+
+# tokens
+
+
+def test_tokens_round_trip(documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk = Tokenizer.from_file(path)
+    df, texts = documents
+    start, want = 0, []
+    for i, t in sorted(texts):
+        ids = [*tk.encode(t, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in tokens.encode_all(df, path).collect()) == want
+    small = tokens.encode_all(df, path, length=16)
+    assert sorted(tuple(r) for r in small.collect()) == want
+
+
+def test_token_files_give_random_access(documents, tmp_path):
+    import public_tokenizers
+
+    df, _ = documents
+    parts = tokens.write(df, public_tokenizers.path("word_bpe_49k.json"), f"file://{tmp_path}/t", length=64).collect()
+    for p in parts:
+        f = tokens.TokenFile(p["tokens"])
+        ids = f.ids()
+        assert len(ids) == p["n_tokens"] and len(f) == -(-p["n_tokens"] // 64)
+        for i in {0, len(f) // 2, len(f) - 1}:
+            seq, mask = f.sequence(i)
+            n = sum(mask.to_pylist())
+            assert len(seq) == 64 and not seq.flags.owndata and (seq[:n] == ids[64 * i : 64 * i + n]).all()
+        with pytest.raises(IndexError):
+            f.sequence(len(f))
+
+
+def test_encoder_is_exact_on_odd_texts():
+    import random
+
+    import public_tokenizers
+
+    e = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aB1'.,!<|>st \n\té́ΣÉßÿ×µªº\x00\x1c\x85-½²￿") for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += ["a<|endoftext|>b é", "<|ENDOFTEXT|>", "IT'S 'S x''ll a'RE", "İx Ǆ", ""]
+    assert all(np.frombuffer(got, e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids for t, got in zip(texts, e.encode(texts), strict=True))
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    t = "Some text, 123 and <|endoftext|> more\n"
+    assert not e.cuts and np.frombuffer(e.encode([t])[0], e.dtype).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_tokens_odd_tables(odd, empty):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = sorted((tuple(r) for r in tokens.encode_all(odd, path).collect()), key=lambda r: r[1])
+    assert [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got[:-1]]]).tolist()
+    assert {r[0]: r[2] for r in got}[3] == 1 and tokens.encode_all(empty, path).count() == 0
+
+
+# decontamination
+
+
+def test_decontamination_finds_planted_passages(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    words = lambda s: re.findall(r"[^\W_]+", s.lower())
+    grams = {r[0]: {tuple(w[i : i + 5]) for w in [words(r[1])] for i in range(len(w) - 4)} for r in items.collect()}
+    want = set()
+    for i, t, *_ in docs.collect():
+        w = words(t)
+        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        want |= {(i, j) for j, g in grams.items() if len(g & own) > 0.8 * len(g)}
+    got = decontam.contaminated(docs, items)
+    assert {(r[0], r[1]) for r in got.collect()} == want and want
+    kept = {r[0] for r in decontam.drop_contaminated(docs, items).select("doc_id").collect()}
+    assert kept == {r[0] for r in docs.select("doc_id").collect()} - {i for i, _ in want}
+
+
+def test_wand_is_exhaustive():
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"t{i}" for i in range(60)]
+    index = decontam.build([(i, " ".join(rng.choices(vocabulary, weights=range(1, 61), k=rng.randint(3, 40))), None) for i in range(80)])
+    for _ in range(300):
+        query = sorted(rng.sample(range(len(index.postings)), rng.randint(1, len(index.postings))))
+        scores = np.zeros(80)
+        for t in query:
+            scores[index.postings[t].items] += index.postings[t].weights
+        limit = rng.choice([0.05, 0.2, 0.5, 0.9])
+        found = decontam.block_max_wand(index, query, limit)
+        assert set(found) == set(np.flatnonzero(scores >= limit - 1e-9).tolist()) and all(abs(found[i] - scores[i]) < 1e-9 for i in found)
+
+
+def test_question_and_answer_both_count(spark, make):
+    items = spark.createDataFrame([(1, "which river flows through the old town of the northern province", "the quiet silver river of the hills")], "item_id long, question string, answer string")
+    q, a = items.first()[1:]
+    filler = " ".join(f"f{i}" for i in range(300))
+    docs = make((1, f"{filler} {q} {a} {filler}"), (2, f"{filler} {q} {filler}"), (3, f"{a} {filler}"), (4, f"{q.upper()}?! {a}"))
+    assert rows(decontam.contaminated(docs, items), "doc_id", "item_id") == [(1, 1), (4, 1)]
+
+
+def test_decontamination_odd_tables(odd, empty, spark):
+    items = spark.createDataFrame([(1, "the same words in the same order, again and again"), (1, "the same words in the same order, again and again"), (2, None), (3, ""), (None, "word3 filler3")], "item_id long, text string")
+    got = rows(decontam.contaminated(odd, items), "doc_id", "item_id")
+    assert got.count((1, 1)) == 2 and (4, None) in got
+    none = items.filter("false")
+    assert decontam.contaminated(odd, none).count() == 0 and decontam.contaminated(empty, items).count() == 0
+    assert decontam.drop_contaminated(odd, items).columns == odd.columns
+
+
+# personal data
+
+
+def test_pii_base_rules(documents):
+    _, texts = documents
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    more = [(0, "a@b.c@d.e x@y@z.w.q a..@b-.c @a.b ü@a.b.c 999.1.1.1.1 1.2.3.4.5 +1 (234) 567-8901 4111 1111 1111 1111 4111-1111-1111-1112")]
+    for _, t in [*texts, *more]:
+        want = []
+        for kind, p in patterns.items():
+            for m in re.finditer(p, t):
+                digits = re.sub("[^0-9]", "", m[0])
+                ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+                if ok:
+                    want.append((m.start(), m.end(), kind))
+        assert pii.base_spans(t) == sorted(want, key=lambda s: (s[0], pii.RANK[s[2]]))
+
+
+def test_pii_added_spans():
+    model, limit = pii.trained()
+    add = lambda t: [t[s:e] for s, e, _ in pii.added_spans(t, pii.base_spans(t), model, limit)]
+    assert add("call me at (555) 123-4567 today") == ["(555) 123-4567"]
+    assert add("my ssn is 123-45-6789.") == ["123-45-6789"]
+    assert add("write to ann (at) example (dot) com") == ["ann (at) example (dot) com"]
+    assert add("IBAN DE89 3704 0044 0532 0130 00") == ["DE89 3704 0044 0532 0130 00"]
+    for t in ("order #555-123-4567/2 of 2024", "version 1.2.3 of 12-345-6789", "code 666-12-3456", "DE00 3704 0044 0532 0130 00", "plain text of 2024-01-02 and 10:30:00"):
+        assert add(t) == []
+
+
+def test_pii_odd_tables(odd, empty, make):
+    got = pii.find(odd)
+    none = hashlib.sha256(b"").hexdigest()
+    assert {tuple(r)[1:] for r in got.collect()} == {(0, 0, 0, 0, none, "")} and pii.find(empty).count() == 0
+    r = pii.find(make((1, "é a@b.co 10.0.0.1"))).first()
+    assert r["spans"] == "email:2:8,ip:9:17" and r["base_sha256"] == hashlib.sha256(b"email:2:8,ip:9:17").hexdigest()
+    assert pii.redact("é a@b.co 10.0.0.1!", r["spans"]) == "é [email] [ip]!"
+
+
+def test_boosting_learns_a_rule():
+    from tessera.llm.gbdt import boost
+
+    x = np.random.default_rng(0).normal(size=(600, 4))
+    y = ((x[:, 0] > 0) & (x[:, 1] < 0.5)).astype(float)
+    p = boost(x, y).probability(x)
+    assert ((p > 0.5) == (y > 0.5)).mean() > 0.97
