@@ -387,7 +387,7 @@ def test_pii_base_rules(documents):
         for kind, p in patterns.items():
             for m in re.finditer(p, t):
                 digits = re.sub("[^0-9]", "", m[0])
-                ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+                ok = kind == "email" or {"ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
                 if ok:
                     want.append((m.start(), m.end(), kind))
         assert pii.base_spans(t) == sorted(want, key=lambda s: (s[0], pii.RANK[s[2]]))
