@@ -39,7 +39,7 @@ SPAN = LENGTH - GRAM
 #: Marks that a task gathers before it sends a block.
 BLOCK = 400_000
 #: Text of the documents whose marks meet in one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Bits of the filter that spares documents without an edge or cover from the exchange; when full it spares none.
 FILTER_BITS = 1 << 24
 #: Hot grams: so many marks in a sample of one document in SAMPLE (of at most a million), and more than HOT_SHARE of its marks.
@@ -132,6 +132,22 @@ def covers_of(m: np.ndarray) -> np.ndarray:
     return out
 
 
+def joined(p: np.ndarray) -> np.ndarray:
+    """The same cover with overlapping ranges of a document as one: the windows of a mark mostly are."""
+    p = p[np.lexsort((p["start"], p["th"], p["doc"]))]
+    if not len(p):
+        return p
+    new = np.ones(len(p), bool)
+    new[1:] = (p["doc"][1:] != p["doc"][:-1]) | (p["th"][1:] != p["th"][:-1])
+    owner = np.cumsum(new) << 32
+    reach = np.maximum.accumulate(owner + p["end"])
+    new[1:] |= owner[1:] + p["start"][1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    out = p[at]
+    out["end"] = reach[np.append(at[1:], len(p)) - 1] & 0xFFFFFFFF
+    return out
+
+
 def hot_grams(docs: DataFrame, n_docs: int, sample: int = SAMPLE, least: int = HOT_LEAST) -> np.ndarray:
     """Grams with very many marks, at most 1 / HOT_SHARE of them; missing or excess ones only cost time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +186,7 @@ def send_marks(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         if len(w):
             w, more = firsts(w)
             covers.append(more)
-        covers = np.concatenate(covers)
+        covers = joined(np.concatenate(covers))
         cuts, sent = [], []
         for x, key in ((m, "g"), (w, "w1")):
             to = (x[key] % K.U(buckets)).astype(np.int64)
@@ -220,7 +236,7 @@ def settle_contexts(sent: DataFrame) -> DataFrame:
         covers = np.frombuffer(b"".join(x.as_py() for x in t.column("covers")), PLACE)
         _, more = firsts(np.frombuffer(b"".join(x.as_py() for x in t.column("windows")), WINDOW))
         m, new_g, new_c = groups(m)
-        covers = np.concatenate([covers, more, covers_of(m[~new_c])])
+        covers = joined(np.concatenate([covers, more, covers_of(m[~new_c])]))
         # grams with several contexts: each one's first mark is at an edge
         gram = np.cumsum(new_g) - 1
         contexts = np.bincount(gram[new_c], minlength=int(new_g.sum()))
