@@ -6,8 +6,10 @@ bytes marks one: every window of LENGTH bytes has such a mark, at the same place
 all its copies. Marks are brought together by their gram hash and merge-sorted with
 the hash of their whole context (all bytes that any window through the mark can
 have) and their place. A context seen before is covered outright. Where contexts
-differ, at the edges of what is shared, the windows through the mark are compared
-by prefix polynomial hashes, and equal ones are verified byte by byte.
+differ, at the edges of what is shared, the suffixes from the marks on and the
+reversed prefixes before them are merge-sorted: two are compared by a binary search
+over prefix polynomial hashes for their common extension and the byte after it. The
+bytes of neighbours verify the sort; common extensions say which windows recur.
 
 Only marks travel (about 1 in 31 bytes), packed in blocks; copies within a block of
 documents are settled there, so a passage of very many documents sends a mark per
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -296,48 +299,145 @@ def edge_contexts(docs: DataFrame, edges: DataFrame, buckets: int) -> DataFrame:
     return met.select("doc", "th", "text", "e").mapInArrow(run, "bucket int, g long, doc long, th int, off int, left int, context binary")
 
 
-def window_keys(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Of each context (row) and each start before its mark (column): the hash of the window, or LAST if it has none."""
-    size = np.diff(at)
-    out = np.full((len(left), SPAN + 1), LAST, K.U)
-    for i in range(0, len(left), 2048):
-        j = min(i + 2048, len(left))
-        h = K.prefix(data[at[i] : at[j]])
-        for back in range(SPAN + 1):
-            own = np.flatnonzero((left[i:j] >= back) & (size[i:j] - left[i:j] + back >= LENGTH))
-            start = at[i + own] - at[i] + left[i + own] - back
-            out[i + own, back] = K.spans_hash(h, start, start + LENGTH)
+class Suffixes:
+    """Suffixes of contexts, each from a place of its own to the end of its context, compared by hashes.
+
+    data: the contexts one after another, at: where each begins (and the last ends); start: the
+    suffix of each; group: ascending, only suffixes of one group are sorted among each other.
+    """
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, start: np.ndarray, group: np.ndarray) -> None:
+        self.data, self.start, self.size, self.group = data, start, at[1:] - start, group
+        # powers count from the begin of each context, so short tables serve for any number of them
+        place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+        up, self.down = K.powers(int(np.diff(at).max(initial=0)))
+        self.hash = np.zeros(len(data) + 1, K.U)
+        np.cumsum(K.CODES[data] * up[place], out=self.hash[1:])
+        self.local = start - at[:-1]
+
+    def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The longest common extension of suffixes x and y, by binary search over their prefix hashes."""
+        p, q, dp, dq = self.start[x], self.start[y], self.down[self.local[x]], self.down[self.local[y]]
+        most = np.minimum(self.size[x], self.size[y])
+        hp, hq = self.hash[p], self.hash[q]
+        found = np.zeros(len(x), np.int64)
+        step = 1 << int(most.max(initial=0)).bit_length() >> 1
+        while step:
+            reach = np.minimum(found + step, most)
+            same = (self.hash[p + reach] - hp) * dp == (self.hash[q + reach] - hq) * dq
+            found = np.where(same, reach, found)
+            step >>= 1
+        return found
+
+    def less(self, x: np.ndarray, y: np.ndarray, found: np.ndarray, ties: np.ndarray | bool) -> np.ndarray:
+        """Whether x comes before y, given their common extension; ties: what to say of equal ones."""
+        ends = found >= np.minimum(self.size[x], self.size[y])
+        last = len(self.data) - 1
+        before = self.data[np.minimum(self.start[x] + found, last)] < self.data[np.minimum(self.start[y] + found, last)]
+        return np.where(ends, np.where(self.size[x] == self.size[y], ties, self.size[x] < self.size[y]), before)
+
+    def merge_sorted(self) -> np.ndarray:
+        """Merge sort, all runs of a width at once: an item's place is its own plus its rank in the run beside."""
+        n = len(self.group)
+        begins = np.flatnonzero(np.diff(self.group, prepend=self.group[:1] - 1))
+        length = np.diff(np.append(begins, n))
+        first, end = np.repeat(begins, length), np.repeat(begins + length, length)
+        k = np.arange(n) - first
+        order, width = np.arange(n), 1
+        while width < length.max(initial=0):
+            run = k // width
+            low = np.minimum(first + (run ^ 1) * width, end)
+            lo, hi = low.copy(), np.minimum(low + width, end)
+            later = (run & 1) == 1
+            live = np.flatnonzero(lo < hi)
+            while len(live):
+                mid = (lo[live] + hi[live]) >> 1
+                x, y = order[mid], order[live]
+                up = self.less(x, y, self.extension(x, y), later[live])
+                lo[live], hi[live] = np.where(up, mid + 1, lo[live]), np.where(up, hi[live], mid)
+                live = live[lo[live] < hi[live]]
+            merged_ = np.empty(n, order.dtype)
+            merged_[first + (run & ~1) * width + k - run * width + lo - low] = order
+            order, width = merged_, 2 * width
+        return order
+
+    def common(self, order: np.ndarray) -> np.ndarray:
+        """Of each suffix in sorted order what it has in common with the one before; -1 in another group."""
+        out = np.full(len(order), -1, np.int64)
+        near = np.flatnonzero(self.group[order[1:]] == self.group[order[:-1]]) + 1
+        out[near] = self.extension(order[near - 1], order[near])
+        return out
+
+    def verified(self, order: np.ndarray, common: np.ndarray) -> bool:
+        """Whether the bytes bear out all that hashes have said: neighbours agree so far and are in order."""
+        near = np.flatnonzero(common >= 0)
+        line = np.arange(int(common.max(initial=0)))
+        for part in np.array_split(near, len(near) // 4096 + 1):
+            x, y, n = order[part - 1], order[part], common[part]
+            inside = line < n[:, None]
+            a, b = (self.data[np.minimum(self.start[v][:, None] + line, len(self.data) - 1)] for v in (x, y))
+            if not ((a == b) | ~inside).all() or not self.less(x, y, n, True).all():
+                return False
+        return True
+
+    def sorted_by_bytes(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the bytes alone give; for a collision of hashes."""
+        text = [self.data[s : s + n].tobytes() for s, n in zip(self.start.tolist(), self.size.tolist(), strict=True)]
+        group = self.group.tolist()
+        order = sorted(range(len(text)), key=lambda i: (group[i], text[i], i))
+        common = [-1] * len(order)
+        for k in range(1, len(order)):
+            if group[order[k]] == group[order[k - 1]]:
+                common[k] = len(os.path.commonprefix([text[order[k - 1]], text[order[k]]]))
+        return np.array(order, np.int64), np.array(common, np.int64)
+
+    def sort(self) -> tuple[np.ndarray, np.ndarray]:
+        """The order, equal suffixes as given, and the common extension with the one before."""
+        order = self.merge_sorted()
+        common = self.common(order)
+        return (order, common) if self.verified(order, common) else self.sorted_by_bytes()
+
+
+def most_common(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each suffix the longest extension that it has in common with any other of its group."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.append(common[1:], -1))
     return out
 
 
-def covered_windows(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts in the order of their places, those of a gram together -> the nearest and farthest start before
-    the mark of a window that an earlier context has too; the farthest is -1 if there is none."""
-    keys = window_keys(data, at, left)
-    near = np.full(len(left), LENGTH, np.int64)
-    far = np.full(len(left), -1, np.int64)
-    line = np.arange(LENGTH)
+def covered_windows(data: np.ndarray, at: np.ndarray, left: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts in the order of their places, those of a gram (group) together -> the nearest and farthest start
+    before the mark of a window that an earlier context has too; the farthest is -1 if there is none.
+
+    The suffixes from the marks on are sorted, and the reversed prefixes before them. A window that
+    starts `back` bytes before the mark is the same in contexts whose suffixes have LENGTH - back bytes
+    in common and whose prefixes have `back`: those between the places where a neighbour has less.
+    """
+    n = len(left)
+    near, far = np.full(n, LENGTH, np.int64), np.full(n, -1, np.int64)
+    group = np.cumsum(np.append(0, group[1:] != group[:-1]))
+    right, right_common = Suffixes(data, at, at[:-1] + left, group).sort()
+    # backwards, the contexts come in reverse: number n - 1 - i is context i
+    back_at = (len(data) - at)[::-1]
+    before, before_common = Suffixes(data[::-1], back_at, (len(data) - at[:-1] - left)[::-1], group[-1] - group[::-1]).sort()
+    before = n - 1 - before
+    reach_right = most_common(right, right_common)
+    reach_left = most_common(before, before_common)
+    some = np.flatnonzero(reach_left + reach_right >= LENGTH)
     for back in range(SPAN + 1):
-        order = np.argsort(keys[:, back], kind="stable")
-        order = order[: np.searchsorted(keys[order, back], LAST)]
-        if not len(order):
+        own = some[(reach_left[some] >= back) & (reach_right[some] >= LENGTH - back)]
+        if len(own) < 2:
             continue
-        key = keys[order, back]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        start = at[order] + left[order] - back
-        rest = np.flatnonzero(~first)
-        for part in np.array_split(rest, max(1, len(rest) // 4096)):
-            # windows of equal hash are verified; one unlike the first of its hash is compared with those between
-            same = (data[start[part][:, None] + line] == data[start[lead[part]][:, None] + line]).all(axis=1)
-            for k in np.flatnonzero(~same).tolist():
-                r = part[k]
-                own = data[start[r] : start[r] + LENGTH]
-                same[k] = any((data[start[q] : start[q] + LENGTH] == own).all() for q in range(lead[r] + 1, r))
-            hit = order[part[same]]
-            near[hit] = np.minimum(near[hit], back)
-            far[hit] = back
+        key = np.empty(n, np.int64)
+        key[right] = np.cumsum(right_common < LENGTH - back) * (n + 1)
+        side = np.empty(n, np.int64)
+        side[before] = np.cumsum(before_common < back)
+        key = key[own] + side[own]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        hit = own[order[np.flatnonzero(key[1:] == key[:-1]) + 1]]
+        near[hit] = np.minimum(near[hit], back)
+        far[hit] = back
     return near, far
 
 
@@ -358,7 +458,7 @@ def settle_edges(contexts: DataFrame) -> DataFrame:
             j = int(new[k]) if k < len(new) else len(g)
             own = column.take(pa.array(order[i:j])).to_pylist()
             at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-            near, far = covered_windows(np.frombuffer(b"".join(own), np.uint8), at, left[i:j])
+            near, far = covered_windows(np.frombuffer(b"".join(own), np.uint8), at, left[i:j], g[i:j])
             hit = i + np.flatnonzero(far >= 0)
             # all windows of a context hold its mark, so their union is one range
             out.append((doc[hit], th[hit], (off[hit] - far[hit - i]).astype(np.int32), (off[hit] - near[hit - i] + LENGTH).astype(np.int32)))

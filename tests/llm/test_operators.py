@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -375,6 +376,29 @@ def test_decontamination_odd_tables(odd, empty, spark):
     assert decontam.drop_contaminated(odd, items).columns == odd.columns
 
 
+# suffix sort
+
+
+def test_suffix_sort_against_bytes(monkeypatch):
+    rng = np.random.default_rng(5)
+    for honest in (True, False):
+        if not honest:
+            # all hashes of equal length collide, so only verification can be right
+            monkeypatch.setattr(substrings.K, "CODES", np.zeros(256, np.uint64))
+        for n in (1, 2, 7, 60):
+            text = [bytes(rng.integers(97, 97 + rng.integers(1, 3), rng.integers(0, 40)).tolist()) + b"x" * int(rng.integers(0, 9)) for _ in range(n)]
+            group = np.sort(rng.integers(0, 3, n))
+            at = np.cumsum([0, *map(len, text)])
+            start = at[:-1] + np.array([rng.integers(0, len(t) + 1) for t in text])
+            data = np.frombuffer(b"".join(text), np.uint8)
+            order, common = substrings.Suffixes(data, at, start, group).sort()
+            own = [data[s:e].tobytes() for s, e in zip(start, at[1:], strict=True)]
+            assert order.tolist() == sorted(range(n), key=lambda i: (group[i], own[i], i))
+            for k in range(1, n):
+                a, b = order[k - 1], order[k]
+                assert common[k] == (len(os.path.commonprefix([own[a], own[b]])) if group[a] == group[b] else -1)
+
+
 # personal data
 
 
