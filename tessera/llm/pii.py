@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,12 +33,13 @@ PRECISION = 0.995
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Possessive, and from the first digit of a run only: a match from a later one would fail alike, so long runs stay linear.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 GENERATORS = {
-    "email_spelled": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+"),
+    "email_spelled": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]+)+"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ipv6": re.compile(r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])"),
     "phone_local": re.compile(r"(?<![A-Za-z0-9+])\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])"),
@@ -182,12 +184,24 @@ def added_spans(text: str, base: list[Span], model: Boosted, threshold: float) -
     if not found:
         return []
     p = model.probability(np.array([describe(text, s) for s in found]))
-    taken = list(base)
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _ in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     out = []
     for k in np.lexsort(([s[0] for s in found], -p)):
         start, end, _ = found[k]
-        if p[k] >= threshold and all(end <= s or e <= start for s, e, _ in taken):
-            taken.append(found[k])
+        if p[k] < threshold:
+            break
+        # what is taken is disjoint and in order, so only the last one that starts before the end can overlap
+        at = bisect_left(starts, end)
+        if not at or ends[at - 1] <= start:
+            starts.insert(at, start)
+            ends.insert(at, end)
             out.append(found[k])
     return out
 

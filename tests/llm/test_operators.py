@@ -444,3 +444,9 @@ def test_boosting_learns_a_rule():
     y = ((x[:, 0] > 0) & (x[:, 1] < 0.5)).astype(float)
     p = boost(x, y).probability(x)
     assert ((p > 0.5) == (y > 0.5)).mean() > 0.97
+
+
+def test_pii_long_runs_stay_linear():
+    text = "7" * 300_000 + " " + "a" * 300_000 + " x(at)y " + "call (555) 123-4567 now " * 2000
+    model, limit = pii.trained()
+    assert pii.base_spans(text) == [] and len(pii.added_spans(text, [], model, limit)) == 2000
