@@ -68,6 +68,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def hash_limit(share: float) -> int:
+    """So many of all signed 64-bit hashes are at most this."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
+
+
 def n_words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text, native; 0 for null."""
     bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))

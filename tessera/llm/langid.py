@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import kernel as K
-from .common import ship
+from .common import hash_limit, ship
 
 DIM = 1 << 12
 #: Labelled documents of each language that training uses at most, chosen by a hash of the id.
@@ -104,9 +104,14 @@ def svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 12) -> np
 def sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, list[str]]:
     """Unit feature vectors and languages of the bounded training sample."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    top = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    top = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    if not top:
+        return np.zeros((0, 2 * DIM), np.float32), []
+    # the window sees a few times the sample of each language, by the hash that it sorts by, however frequent the language is
+    limits = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, hash_limit(4 * per_language / n))])
+    few = known.filter(F.col("lang").isin(list(top))).select("doc_id", "lang").filter(F.xxhash64("doc_id") <= F.element_at(limits, F.col("lang")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.filter(F.col("lang").isin(top)).select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_language)
+    ids = few.withColumn("rank", rank).filter(F.col("rank") <= per_language)
     ids = docs.sparkSession.createDataFrame(ids.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang")).collect(), "s_id long, s_lang string")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
