@@ -9,30 +9,38 @@ from tessera.functions.aggregates import running, so_far
 from tessera.functions.scalar import Expr, micros
 from tessera.plans.scope import Emission
 
-CHUNKS = 4096
+CHUNKS, CHUNK_ROWS = 4096, 1 << 20
+ARRIVAL = "__arrival"
 
 
 def with_arrival(df: DataFrame, seq: str | None) -> tuple[DataFrame, str]:
     """The column of arrival, or the order in which the source is read."""
-    return (df, seq) if seq else (df.withColumn("__arrival", F.monotonically_increasing_id()), "__arrival")
+    return (df, seq) if seq else (df.withColumn(ARRIVAL, F.monotonically_increasing_id()), ARRIVAL)
 
 
 def earlier_max(df: DataFrame, value: Column, seq: str, name: str) -> DataFrame:
     """Adds the maximum of value over all earlier arrivals.
 
     One window over everything would be one task. The range of arrivals is cut into
-    chunks: a window in each, and the maxima of the chunks, CHUNKS rows at most,
-    summed up by a window of their own.
+    chunks: a window in each, and the maxima of the chunks summed up by a window of
+    their own. There are CHUNKS of them, or one for CHUNK_ROWS rows if that is more,
+    so neither window grows out of a task. The places that a scan gives are dense in
+    each of its partitions, and CHUNK_ROWS of them are a chunk.
     """
-    low, high = df.agg(F.min(seq), F.max(seq)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    width = max(1, -(-(high - low + 1) // CHUNKS))
-    df = df.withColumn("__chunk", F.call_function("div", F.col(seq) - low, F.lit(width))).withColumn("__value", value)
+    if seq == ARRIVAL:
+        chunk = F.call_function("div", F.col(seq), F.lit(CHUNK_ROWS))
+    else:
+        low, high, n = df.agg(F.min(seq), F.max(seq), F.count(seq)).first()
+        if low is None:
+            return df.withColumn(name, F.lit(None).cast("bigint"))
+        width = max(1, -(-(high - low + 1) // max(CHUNKS, n // CHUNK_ROWS)))
+        chunk = F.call_function("div", F.col(seq) - low, F.lit(width))
+    df = df.withColumn("__chunk", chunk).withColumn("__value", value)
     before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = df.groupBy("__chunk").agg(F.max("__value").alias("__most")).withColumn("__before", F.max("__most").over(before)).select("__chunk", "__before")
     inside = Window.partitionBy("__chunk").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(F.broadcast(chunks), "__chunk")  # CHUNKS rows at most
+    # without a hint: a join that shuffles by chunk deals the rows as the window in each needs them
+    out = df.join(chunks, "__chunk")
     return out.withColumn(name, F.greatest(F.max("__value").over(inside), "__before")).drop("__chunk", "__value", "__before")
 
 

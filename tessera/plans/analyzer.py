@@ -59,6 +59,8 @@ def micros_of(e: object) -> int:
 class Analyzer:
     def __init__(self, catalog: Catalog, compat: bool = False) -> None:
         self.catalog, self.spark, self.compat = catalog, catalog.spark, compat
+        #: The shortest interval of the query's poll() calls, in microseconds.
+        self.poll_us: int | None = None
 
     # queries
 
@@ -467,9 +469,8 @@ class Analyzer:
         if t.name == "poll":
             us = micros_of(self.argument(t, "poll_interval", A.Interval(1, "s")))
             c = Col(None, "time", fresh("time"), TIME)
-            out = Relation(rel.df.withColumn(c.internal, F.current_timestamp()), [c, *rel.cols], c.internal, rel.seq)
-            out.poll_us = us
-            return out
+            self.poll_us = us if self.poll_us is None else min(us, self.poll_us)
+            return Relation(rel.df.withColumn(c.internal, F.current_timestamp()), [c, *rel.cols], c.internal, rel.seq)
         time = self.time_of(t, rel, t.name == "max_diff_watermark")
         if t.name == "max_diff_watermark":
             diff, step = micros_of(self.argument(t, "max_diff", needed=True)), micros_of(self.argument(t, "resolution", A.Interval(1, "s")))

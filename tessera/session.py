@@ -22,8 +22,10 @@ class Query:
 
     def __init__(self, engine: Engine, text: str) -> None:
         self.tree = parse(text)
-        self.relation: Relation = Analyzer(engine.catalog, engine.compat).query(self.tree, Scope())
+        analyzer = Analyzer(engine.catalog, engine.compat)
+        self.relation: Relation = analyzer.query(self.tree, Scope())
         self.frame, self.columns = output(self.relation)
+        self.poll_us = analyzer.poll_us
 
     @property
     def time_field(self) -> str | None:

@@ -129,16 +129,17 @@ def batch_table(q: Query) -> str:
     return table_text([n for n, _ in q.columns], [[shown(v, t) for v, (_, t) in zip(r, q.columns, strict=True)] for r in rows], right)
 
 
-def csv_lines(q: Query) -> Iterator[str]:
+def csv_rows(columns: list[tuple[str, Type]], rows: Iterable[Row], header: bool = True) -> Iterator[str]:
     def line(cells: list[str]) -> str:
         out = io.StringIO()
         csv.writer(out, lineterminator="\n").writerow(cells)
         return out.getvalue()
 
-    yield line([n for n, _ in q.columns])
-    for r in q.frame.toLocalIterator():
+    if header:
+        yield line([n for n, _ in columns])
+    for r in rows:
         cells = []
-        for v, (n, t) in zip(r, q.columns, strict=True):
+        for v, (n, t) in zip(r, columns, strict=True):
             v, t = chosen(v, t) if t.kind == "Union" and v is not None else (v, t)
             if t.kind in ("List", "Struct", "Tuple") and v is not None:
                 raise ValueError(f"column {n}: a {t.kind} can't be written as CSV")
@@ -146,20 +147,31 @@ def csv_lines(q: Query) -> Iterator[str]:
         yield line(cells)
 
 
+def csv_lines(q: Query) -> Iterator[str]:
+    return csv_rows(q.columns, q.frame.toLocalIterator())
+
+
+def json_rows(columns: list[tuple[str, Type]], rows: Iterable[Row]) -> Iterator[str]:
+    for r in rows:
+        yield json.dumps({n: plain(v, t) for v, (n, t) in zip(r, columns, strict=True)}, ensure_ascii=False, separators=(",", ":")) + "\n"
+
+
 def json_lines(q: Query) -> Iterator[str]:
-    for r in q.frame.toLocalIterator():
-        yield json.dumps({n: plain(v, t) for v, (n, t) in zip(r, q.columns, strict=True)}, ensure_ascii=False, separators=(",", ":")) + "\n"
+    return json_rows(q.columns, q.frame.toLocalIterator())
+
+
+def stream_line(q: Query, r: Row) -> str:
+    time = q.time_field
+    at = instant(r[time]) if time and r[time] is not None else "0001-01-01T00:00:00Z"
+    values = ", ".join(shown(r[n], t) for n, t in q.columns)
+    return f"{{{'-' if r['__retraction'] else '+'}{at}| {values} |}}\n"
 
 
 def stream_lines(q: Query) -> Iterator[str]:
     """{+time| values |} for records, {-...} for their retractions."""
-    time = q.time_field
     log = q.changelog()
     ordered = log.orderBy("__at", "__step") if q.relation.emission else log
-    for r in ordered.toLocalIterator():
-        at = instant(r[time]) if time and r[time] is not None else "0001-01-01T00:00:00Z"
-        values = ", ".join(shown(r[n], t) for n, t in q.columns)
-        yield f"{{{'-' if r['__retraction'] else '+'}{at}| {values} |}}\n"
+    return (stream_line(q, r) for r in ordered.toLocalIterator())
 
 
 def describe(q: Query) -> list[tuple[str, str, bool]]:

@@ -8,6 +8,7 @@ has passed it, END OF STREAM keeps the whole result, COUNTING n emits in change.
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterator
 from typing import TextIO
@@ -19,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from tessera import sinks
 from tessera.errors import QueryError
 from tessera.session import Engine, Query
 from tessera.sinks import shown, table_text
@@ -122,10 +124,29 @@ def poll(engine: Engine, text: str, sink: Callable[[DataFrame, int], None], roun
         sink(q.frame, turn)
         turn += 1
         if rounds is None or turn < rounds:
-            time.sleep(getattr(q.relation, "poll_us", 1_000_000) / 1e6)
+            time.sleep((1_000_000 if q.poll_us is None else q.poll_us) / 1e6)
     return turn
 
 
+def printed(engine: Engine, text: str, kind: str, out: TextIO, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Prints what each micro-batch emits as CSV or JSON lines, or in the form of the change stream."""
+    q = engine.query(text)
+    counting = bool(q.relation.emission) and any(t.kind == "counting" for t in q.relation.emission.triggers)
+
+    def show(df: DataFrame, batch: int) -> None:
+        if kind == "stream_native":
+            rows = df if counting else df.withColumn("__retraction", F.lit(False))
+            lines = map(functools.partial(sinks.stream_line, q), rows.collect())
+        else:
+            # CSV and JSON have no form for a retraction: only what stands is printed
+            rows = df.filter(~F.col("__retraction")).drop("__retraction", "__turn") if counting else df
+            lines = sinks.csv_rows(q.columns, rows.collect(), header=batch == 0) if kind == "csv" else sinks.json_rows(q.columns, rows.collect())
+        out.writelines(lines)
+        out.flush()
+
+    return start(engine, text, show, checkpoint, once=once)
+
+
 def live_table(engine: Engine, text: str, out: TextIO, checkpoint: str, once: bool = False, interval: str = "250 milliseconds") -> StreamingQuery:
     """Prints the whole current result as a table after each micro-batch; a query without GROUP BY prints what is new."""
     q = engine.query(text)

@@ -44,6 +44,26 @@ def test_poll(spark):
     seen = []
     n = runner.poll(Engine(spark), "SELECT * FROM poll(source=>TABLE(range(start=>0, end=>3) r), poll_interval=>INTERVAL 10 MILLISECONDS) p", lambda df, k: seen.append((k, df.count())), rounds=2)
     assert n == 2 and seen == [(0, 3), (1, 3)]
+    assert Engine(spark).query("SELECT * FROM poll(source=>TABLE(range(start=>0, end=>3) r), poll_interval=>INTERVAL 10 MILLISECONDS) p").poll_us == 10_000
+
+
+def test_command_line_follows_growing_tables(spark, tmp_path, capsys):
+    from tessera import cli
+
+    d = clicks(tmp_path / "in", 9)
+    grouped = f"SELECT user, COUNT(*) AS n FROM {d}/clicks.json?tail=true c GROUP BY user TRIGGER COUNTING 2"
+    want = {
+        "json": ['{"user":"a","n":2}', '{"user":"a","n":4}', '{"user":"b","n":2}', '{"user":"b","n":4}'],
+        "csv": ["a,2", "a,4", "b,2", "b,4", "user,n"],
+        "stream_native": sorted(f"{{{sign}0001-01-01T00:00:00Z| '{u}', {n} |}}" for u in "ab" for sign, n in (("+", 2), ("-", 2), ("+", 4))),
+    }
+    for kind, lines in want.items():
+        assert cli.main([grouped, "-o", kind, "--once", "--checkpoint", str(tmp_path / kind)]) == 0
+        assert sorted(capsys.readouterr().out.splitlines()) == lines
+    assert cli.main([f"SELECT user, SUM(v) AS s FROM {d}/clicks.json?tail=true c GROUP BY user", "--once"]) == 0
+    assert capsys.readouterr().out.splitlines()[3:5] == ["| 'a'  | 20 |", "| 'b'  | 16 |"]
+    assert cli.main(["SELECT p.i FROM poll(source=>TABLE(range(start=>0, end=>2) r)) p", "--once"]) == 0
+    assert capsys.readouterr().out.splitlines()[3:5] == ["| 0 |", "| 1 |"]
 
 
 def test_live_table_prints_the_whole_result(spark, tmp_path):
