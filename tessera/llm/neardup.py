@@ -4,7 +4,7 @@ One hash function serves all: a document's sketch is its k smallest shingle
 hashes. Equal sets are one class from the start, so copies never meet pairwise.
 Inverted lists over the retained values count what classes have in common: a link
 of Jaccard >= 0.8 shares at least SHARE of the sketch (but for a binomial tail of
-1e-8), and a class that shares less with all others together has no link. The rest,
+3e-8), and a class that shares less with all others together has no link. The rest,
 the candidates, get inverted lists over the rarest values of their full sets (the
 prefix principle, exact) and are paired there, if sizes and the places of the common
 value allow a link; the sketch of the union estimates each pair, and the full sets
