@@ -3,8 +3,9 @@
 The page is parsed into a tree with the implied end tags of HTML. Each node has
 its characters, link characters, tags and link tags; its composite density is
 the link-adjusted characters per tag, and a node's density sum is the sum over
-its children. The subtree with the largest sum among the nodes whose density is
-at least that of the threshold on the path from the body is the main content.
+its children. The threshold is the least density on the path from the node of the
+largest sum to the body; from the body down, the subtrees of the largest sum in the
+nodes that reach it are the main content, joined in page order.
 Parts that are no content by their element or role are left out throughout.
 """
 
@@ -186,39 +187,111 @@ def measure(root: Node) -> list[tuple[Node, Node | None]]:
     return order
 
 
-def main_node(root: Node) -> Node | None:
-    """The maximum-sum subtree, under the threshold of the path from the body.
+def marked(top: Node, order: list[tuple[Node, Node | None]], threshold: float) -> list[Node]:
+    """From top down, the maximum-sum subtree of every node whose density is at least the threshold.
 
-    The threshold is the least density on the path from the densest-sum node up to
-    the body; an article or main element that holds nearly all text of the choice wins.
+    There is no descent below a node under the threshold.
+    """
+    place = {id(n): k for k, (n, _) in enumerate(order)}
+    parents = {id(n): p for n, p in order}
+    most: dict[int, Node] = {}
+    rank = lambda n: (n.sum, n.chars, -place[id(n)])
+    for node, _ in reversed(order):
+        if not node.dropped and node.chars:
+            most[id(node)] = max([node, *(most[id(k)] for k in node.kids if not isinstance(k, str) and id(k) in most)], key=rank)
+    out, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        if id(node) not in most or node.density < threshold:
+            continue
+        best = most[id(node)]
+        # a line is never split
+        while best.tag not in BLOCK and parents[id(best)] is not None:
+            best = parents[id(best)]
+        out.append(best)
+        if best is not node:
+            todo.extend(k for k in node.kids if not isinstance(k, str))
+    return out
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The main content in page order: maximum-sum subtrees, under the threshold of the path from the body.
+
+    The threshold is the least density on the path from the densest-sum node up to the body;
+    every node that reaches it, from the body down, gives its maximum-sum subtree. If the
+    densest-sum one lies in an article or main element, or these hold half of its text, they
+    bound the content. Headings right before what is kept belong to it.
     """
     order = measure(root)
     parents = {id(n): p for n, p in order}
     alive = [n for n, _ in order if not n.dropped and n.chars]
     if not alive:
-        return None
+        return []
+
+    def above(node: Node | None, tags: tuple[str, ...]) -> Node | None:
+        while node is not None and node.tag not in tags:
+            node = parents[id(node)]
+        return node
+
     best = max(alive, key=lambda n: (n.sum, n.chars))
+    top = above(best, ("body",)) or root
     threshold, node = best.density, best
-    while node is not None and node.tag != "html":
-        threshold = min(threshold, node.density)
+    while node is not top:
         node = parents[id(node)]
-    chosen = max((n for n in alive if n.density >= threshold), key=lambda n: (n.sum, n.chars), default=best)
-    named = [n for n in alive if n.tag in ("article", "main")]
-    # the semantic container of the choice, or inside it, is where the article starts and ends
-    up = chosen
-    while up is not None and up.tag not in ("article", "main"):
-        up = parents[id(up)]
-    if up is not None:
-        return up
-    if named:
-        most = max(named, key=lambda n: n.chars)
-        if 2 * most.chars >= chosen.chars:
-            return most
-    if chosen.tag not in BLOCK or chosen.tag in ("p", "li", "td", "blockquote", "pre") or re.fullmatch("h[1-6]", chosen.tag):
+        threshold = min(threshold, node.density)
+    semantic = ("article", "main")
+    named = [n for n in alive if n.tag in semantic]
+    outer = [n for n in named if above(parents[id(n)], semantic) is None]
+    inside = above(best, semantic)
+    if inside is None:
         # one paragraph is no article: its container is
-        while parents[id(chosen)] is not None and (chosen.tag not in BLOCK or chosen.tag in ("p", "li", "td", "tr", "blockquote", "pre") or re.fullmatch("h[1-6]", chosen.tag)):
-            chosen = parents[id(chosen)]
-    return chosen
+        while parents[id(best)] is not None and (best.tag not in BLOCK or best.tag in ("p", "li", "td", "tr", "blockquote", "pre") or re.fullmatch("h[1-6]", best.tag)):
+            best = parents[id(best)]
+    parts = [inside or best, *marked(top, order, threshold)]
+    if inside is not None:
+        held = {id(p) for p in parts}
+        parts = [a for p in parts if (a := above(p, semantic)) is not None] + [n for n in outer if lies_within(n, held, parents)]
+    elif outer and 2 * sum(n.chars for n in outer) >= best.chars:
+        parts = outer
+    return whole(parts, order)
+
+
+def lies_within(node: Node | None, held: set[int], parents: dict[int, Node | None]) -> bool:
+    while node is not None and id(node) not in held:
+        node = parents[id(node)]
+    return node is not None
+
+
+def whole(parts: list[Node], order: list[tuple[Node, Node | None]]) -> list[Node]:
+    """The parts in page order, each text once, and the headings right before them (an h1 also before left-out parts)."""
+    own, kept, out = {id(p) for p in parts}, set(), []
+    for node, parent in order:
+        if parent is not None and id(parent) in kept:
+            kept.add(id(node))
+        elif id(node) in own:
+            kept.add(id(node))
+            out.append(node)
+    within, parents = {id(p) for p in out}, {id(n): p for n, p in order}
+    heads: list[Node] = []
+    waiting: list[Node] = []
+    todo: list[Node | str] = [order[0][0]]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            if x.strip():
+                waiting.clear()
+        elif id(x) in within:
+            heads += waiting
+            waiting.clear()
+        elif x.dropped:
+            if not parents[id(x)].dropped and x.tag not in ("head", "script", "style", "noscript", "template"):
+                waiting = [h for h in waiting if h.tag == "h1"]
+        elif re.fullmatch("h[1-6]", x.tag) and x.chars:
+            waiting.append(x)
+        else:
+            todo.extend(reversed(x.kids))
+    own = within | {id(h) for h in heads}
+    return [n for n, _ in order if id(n) in own]
 
 
 def text_of(node: Node) -> str:
@@ -255,8 +328,7 @@ def extract(page: str | None) -> str:
     """The main text of a page; empty for null, empty or text-less pages."""
     if not page:
         return ""
-    node = main_node(parse(page))
-    return text_of(node) if node is not None else ""
+    return "\n".join(t for n in main_nodes(parse(page)) if (t := text_of(n)))
 
 
 def extract_all(pages: DataFrame) -> DataFrame:

@@ -41,3 +41,17 @@ def test_odd_tables(spark):
     got = H.extract_all(pages.selectExpr("*", "'x' AS text", "1 AS n_chars"))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "u", "x", 1), (3, "u", "", 0)], key=repr)
     assert H.extract_all(pages.filter("false")).count() == 0
+
+
+def test_split_content_is_kept_whole():
+    long = [f"Paragraph {i} of the text. " + "Words and more words follow it. " * 9 for i in range(12)]
+    long = [x.strip() for x in long]
+    paragraphs = "".join(f"<p>{x}</p>" for x in long)
+    first, second = "".join(f"<p>{x}</p>" for x in long[:6]), "".join(f"<p>{x}</p>" for x in long[6:])
+    advert = '<div class="ad"><p>Buy this now</p></div>'
+    assert H.extract(page(f"<h1>Title</h1><div>{first}</div>{advert}<div>{second}</div>")) == "\n".join(["Title", *long])
+    assert H.extract(f"<h1>Title</h1><div>{first}</div>{advert}<div>{second}</div>") == "\n".join(["Title", *long])
+    assert H.extract(page(f"<div><div>{first}</div>{advert}<h2>Next</h2><div>{second}</div></div><p>Short</p>")) == "\n".join([*long[:6], "Next", *long[6:]])
+    assert H.extract(page(f"<article>{first}</article>{advert}<article>{second}</article>")) == "\n".join(long)
+    assert H.extract(page(f"<article><p>{long[0]}</p></article><div><article><p>{long[1]}</p></article></div>")) == "\n".join(long[:2])
+    assert H.extract(page(f"<div>{paragraphs}</div>")) == "\n".join(long)
