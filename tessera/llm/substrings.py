@@ -5,8 +5,9 @@ length. Suffixes are compared only where a local minimum of the hashes of GRAM
 bytes marks one: every window of LENGTH bytes has such a mark, at the same place in
 all its copies. Marks are brought together by their gram hash and merge-sorted with
 the hash of their whole context (all bytes that any window through the mark can
-have) and their place. A context seen before is covered outright. Where contexts
-differ, at the edges of what is shared, the suffixes from the marks on and the
+have) and their place. A context seen before at another place is covered outright.
+Where contexts differ, at the edges of what is shared, and where marks of a short
+text have it all as their context, the suffixes from the marks on and the
 reversed prefixes before them are merge-sorted: two are compared by a binary search
 over prefix polynomial hashes for their common extension and the byte after it. The
 bytes of neighbours verify the sort; common extensions say which windows recur.
@@ -106,7 +107,11 @@ def order_of(m: np.ndarray) -> np.ndarray:
 
 
 def groups(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """m sorted, each place once; where a new gram and where a new context begins."""
+    """m sorted, each place once; where a new gram begins; which marks are no copy of a context before.
+
+    These are the first of each context and, in a text so short that the contexts of several
+    marks are all of it, the others of the same bytes: they are the first one itself.
+    """
     m = m[order_of(m)]
     new_g = np.ones(len(m), bool)
     new_g[1:] = m["g"][1:] != m["g"][:-1]
@@ -115,7 +120,12 @@ def groups(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = ~new_c
     for k in ("doc", "th", "off"):
         again[1:] &= m[k][1:] == m[k][:-1]
-    return m[~again], new_g[~again], new_c[~again]
+    m, new_g, new_c = m[~again], new_g[~again], new_c[~again]
+    if not len(m):
+        return m, new_g, new_c
+    lead = m[np.flatnonzero(new_c)[np.cumsum(new_c) - 1]]
+    itself = (m["doc"] == lead["doc"]) & (m["th"] == lead["th"]) & (m["off"] - m["left"] == lead["off"] - lead["left"])
+    return m, new_g, itself
 
 
 def doc_key(doc_id: Column) -> Column:
@@ -182,9 +192,9 @@ def send_marks(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """bucket, marks, windows, covers: blocks of marks by gram hash, windows of hot grams by theirs, and what was
     settled within the block."""
     def block(parts: list[np.ndarray], wide: list[np.ndarray]) -> pa.RecordBatch:
-        m, _, new_c = groups(np.concatenate(parts))
-        covers = [covers_of(m[~new_c])]
-        m = m[new_c]
+        m, _, own = groups(np.concatenate(parts))
+        covers = [covers_of(m[~own])]
+        m = m[own]
         w = np.concatenate(wide) if wide else np.zeros(0, WINDOW)
         if len(w):
             w, more = firsts(w)
@@ -198,9 +208,9 @@ def send_marks(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             cuts.append(np.searchsorted(to[order], np.arange(buckets + 1)))
         sent.append(covers)
         cuts.append(np.linspace(0, len(covers), buckets + 1).astype(int))
-        own = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
-        blobs = [pa.array([x[c[b] : c[b + 1]].tobytes() for b in own], pa.binary()) for x, c in zip(sent, cuts, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *blobs], ["bucket", "marks", "windows", "covers"])
+        used = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
+        blobs = [pa.array([x[c[b] : c[b + 1]].tobytes() for b in used], pa.binary()) for x, c in zip(sent, cuts, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *blobs], ["bucket", "marks", "windows", "covers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, wide, n = [], [], 0
@@ -238,12 +248,12 @@ def settle_contexts(sent: DataFrame) -> DataFrame:
         m = np.frombuffer(b"".join(x.as_py() for x in t.column("marks")), MARK)
         covers = np.frombuffer(b"".join(x.as_py() for x in t.column("covers")), PLACE)
         _, more = firsts(np.frombuffer(b"".join(x.as_py() for x in t.column("windows")), WINDOW))
-        m, new_g, new_c = groups(m)
-        covers = joined(np.concatenate([covers, more, covers_of(m[~new_c])]))
-        # grams with several contexts: each one's first mark is at an edge
+        m, new_g, own = groups(m)
+        covers = joined(np.concatenate([covers, more, covers_of(m[~own])]))
+        # grams with several marks that are no copies, of other contexts or in one short text: these are at an edge
         gram = np.cumsum(new_g) - 1
-        contexts = np.bincount(gram[new_c], minlength=int(new_g.sum()))
-        edge = m[new_c & (contexts[gram] > 1)]
+        several = np.bincount(gram[own], minlength=int(new_g.sum())) > 1
+        edge = m[own & several[gram]]
         g = pa.array(np.concatenate([np.zeros(len(covers), np.int64), edge["g"].view(np.int64)]), mask=np.arange(len(covers) + len(edge)) < len(covers))
         return pa.table([
             pa.array(np.concatenate([covers["doc"], edge["doc"]])), pa.array(np.concatenate([covers["th"], edge["th"]])),

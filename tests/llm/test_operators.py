@@ -241,6 +241,19 @@ def test_repeats_in_adversarial_texts(make):
         assert {r[0]: tuple(r[1:]) for r in substrings.deduplicate(make(*pairs), sample, least).collect()} == want
 
 
+def test_repeats_in_short_periodic_texts(make):
+    """A mark's context can be the whole text: it is no copy of itself."""
+    units = ["buy now! ", "-", "spam and eggs, ", "ab", "0123456789 0123456789 0123456789 0123456", "é"]
+    lone = [(f"{u}{k} " if n % 2 else u) * 200 for n, u in enumerate(units) for k in range(3)]
+    texts = [t.encode()[: 100 + (7 * i) % 65].decode(errors="ignore") for i, t in enumerate(lone)] + ["buy now! " * 12, "-" * 100, "-" * 120, ("spam and eggs, " * 8)[:105]]
+    # each alone, then all together with copies and with a longer text that holds one
+    for t in ("buy now! " * 12, "-" * 120, ("spam and eggs, " * 8)[:105]):
+        assert {r[0]: tuple(r[1:]) for r in substrings.deduplicate(make((1, t))).collect()} == brute.repeats([(1, t)])
+    pairs = list(enumerate([*texts, *texts[::3], "before it " * 3 + "buy now! " * 12 + " and after it", "-" * 140]))
+    for sample, least in ((64, 1000), (1, 3)):
+        assert {r[0]: tuple(r[1:]) for r in substrings.deduplicate(make(*pairs), sample, least).collect()} == brute.repeats(pairs)
+
+
 def test_repeats_with_hot_grams_on_the_table(documents):
     df, texts = documents
     got = {r[0]: tuple(r[1:]) for r in substrings.deduplicate(df, 1, 4).collect()}
