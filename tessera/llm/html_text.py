@@ -32,10 +32,17 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body legend summary li dd dt".split())
-#: Words in id, class or role that mark parts around the article.
-CHROME = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notice\w*|popup\w*|modal\w*|newsletter\w*|subscri\w*|signup|menu\w*|nav\w*|breadcrumb\w*|sidebar\w*|side|widget\w*|footer\w*|header\w*|masthead\w*|comment\w*|disqus\w*|respon(?:se|d)\w*|repl(?:y|ies)|social\w*|share\w*|sharing|related\w*|recommend\w*|pagination|pager|login\w*|search\w*|toolbar\w*|copyright|legal|disclaimer\w*|alert\w*|skip\w*|hidden|complementary|contentinfo)(?:[^a-z]|$)"
-)
+#: Words of id, class or role that name parts around the article, and those that may stand beside them in such a name.
+PART = r"ads?|advert(?:s|isements?|ising)?|sponsor(?:s|ed|ship)?|promo(?:s|tions?|ted)?|banners?|cookies?|consent|gdpr|notices?|popups?|modals?|newsletters?|subscri(?:be|bers?|ptions?)|signup|menus?|nav|navigation|breadcrumbs?|sidebars?|side|widgets?|footers?|headers?|masthead|comments?|disqus|respon(?:ses?|d)|repl(?:y|ies)|social|shar(?:e|es|ing)|related|recommend(?:s|ed|ations?)?|pagination|pager|login|search|toolbars?|copyright|legal|disclaimers?|alerts?|skip|hidden|complementary|contentinfo"
+BESIDE = r"left|right|top|bottom|main|site|page|global|primary|secondary|post|posts|article|articles|entry|blog|user|container|wrapper|wrap|box|block|area|section|list|lists|links?|items?|bars?|buttons?|btn|icons?|media|form|forms|slot|unit|panel|inner|outer|body|content|to|this|us|the|stories|news|text|overlay|dialog|thread|count|meta|policy|group|row|column|col|small|large|sticky|fixed|leaderboard|mpu|google|tabs|pills|is|visually"
+NAME = re.compile(rf"(?:{PART})(?:{BESIDE}|{PART})?|adsbygoogle")
+OTHER = re.compile(rf"{BESIDE}|..?|[0-9x]+")
+#: Names that end in one of these are parts whatever stands before.
+LAST = re.compile(r"ads?|advert(?:s|isements?|ising)?|nav|navbar|navigation|breadcrumbs?|sidebar|footer|comments|newsletter|pagination|menu|banner|notice|popup|modal|widget")
+#: What a name with one of these says is of the page, not of the part.
+MODIFIER = frozenset("has no with without not non show by free".split())
+ABOUT_COMMENTS = re.compile(r"comments?|disqus|repl(?:y|ies)|respon(?:ses?|d)")
+WORD = re.compile(r"[^\W_]+")
 NEUTRAL = frozenset("html body main article".split())
 SCOPE = frozenset("table td th ul ol article section div body html button object".split())
 SPACE = re.compile(r"[\s ]+")
@@ -52,21 +59,71 @@ class Node:
         self.sum = self.density = 0.0
 
 
-def chrome(node: Node) -> bool:
+def names_part(name: str) -> bool:
+    """Whether a class, id, role or label as a whole names a part around the article."""
+    words = WORD.findall(name)
+    if not words or not MODIFIER.isdisjoint(words) or (words[0] == "hidden" and len(words) > 1):
+        return False
+    return LAST.fullmatch(words[-1]) is not None or (any(NAME.fullmatch(w) for w in words) and all(NAME.fullmatch(w) or OTHER.fullmatch(w) for w in words))
+
+
+def values(node: Node) -> Iterator[tuple[str, str]]:
+    for m in ATTR.finditer(node.attrs.lower()):
+        yield m[1], m[2] or m[3] or m[4] or ""
+
+
+def part_names(node: Node) -> list[str]:
+    """The names of an element that make it a part around the article."""
+    found = []
+    for name, value in values(node) if node.attrs else ():
+        if name in ("class", "id", "role", "aria-label"):
+            found += [x for x in ([value] if name == "aria-label" else value.split()) if names_part(x)]
+    return found
+
+
+def never_shown(node: Node) -> bool:
+    """Left out by its element or as hidden, whatever it holds."""
     if node.tag in DROPPED:
         return True
     if not node.attrs or node.tag in NEUTRAL:
         return False
-    low = node.attrs.lower()
-    if "class" not in low and "id" not in low and "role" not in low and "hidden" not in low and "style" not in low and "aria" not in low:
-        return False
-    for m in ATTR.finditer(low):
-        name, value = m[1], m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role", "aria-label") and CHROME.search(value):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+    return any(n == "hidden" or (n == "aria-hidden" and v == "true") or (n == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v)) for n, v in values(node))
+
+
+def drop_parts(root: Node) -> None:
+    """Marks what is no content.
+
+    A name alone drops no element that holds an article or main element or, in a page without
+    one outside of it, most of the text; comments beside an article are dropped all the same.
+    """
+    order: list[tuple[Node, Node | None]] = []
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
+    while todo:
+        node, parent = todo.pop()
+        node.dropped = (parent is not None and parent.dropped) or never_shown(node)
+        order.append((node, parent))
+        todo.extend((k, node) for k in reversed(node.kids) if not isinstance(k, str))
+    names = {id(n): found for n, _ in order if not n.dropped and (found := part_names(n))}
+    if not names:
+        return
+    size, articles = {}, {}
+    for node, parent in reversed(order):
+        if node.dropped:
+            continue
+        own = size[id(node)] = size.get(id(node), 0) + sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        held = articles[id(node)] = articles.get(id(node), 0) + (node.tag in ("article", "main") and own > 0 and id(node) not in names)
+        if parent is not None:
+            size[id(parent)] = size.get(id(parent), 0) + own
+            articles[id(parent)] = articles.get(id(parent), 0) + held
+    for node, parent in order:
+        if parent is not None and parent.dropped:
+            node.dropped = True
+        elif not node.dropped and node.tag not in NEUTRAL and id(node) in names:
+            held = articles[id(node)]
+            if articles[id(root)] > held:
+                node.dropped = not held or any(ABOUT_COMMENTS.search(x) for x in names[id(node)])
+            else:
+                node.dropped = not held and 2 * size[id(node)] <= size[id(root)]
 
 
 def parse(page: str) -> Node:
@@ -150,11 +207,11 @@ def parse(page: str) -> Node:
 
 def measure(root: Node) -> list[tuple[Node, Node | None]]:
     """Counts and densities of all nodes in the order of the page, with their parents."""
+    drop_parts(root)
     order: list[tuple[Node, Node | None]] = []
     todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
     while todo:
         node, parent, in_link = todo.pop()
-        node.dropped = (parent is not None and parent.dropped) or chrome(node)
         order.append((node, parent))
         in_link = in_link or node.tag == "a"
         for kid in node.kids:

@@ -55,3 +55,16 @@ def test_split_content_is_kept_whole():
     assert H.extract(page(f"<article>{first}</article>{advert}<article>{second}</article>")) == "\n".join(long)
     assert H.extract(page(f"<article><p>{long[0]}</p></article><div><article><p>{long[1]}</p></article></div>")) == "\n".join(long[:2])
     assert H.extract(page(f"<div>{paragraphs}</div>")) == "\n".join(long)
+
+
+def test_names_that_do_not_name_a_part():
+    text = f"<p>{LONG}</p><p>{LONG}</p>"
+    for attrs in ("class='container has-sidebar'", "id='page' class='no-sidebar'", "class='layout--with-sidebar'", "class='social-science'", "class='hidden-print'", "class='client-side'", "class='sidebar-left'", "class='commentary'", "id=header"):
+        assert H.extract(page(f"<div {attrs}><article>{text}</article></div>")) == f"{LONG}\n{LONG}"
+        assert H.extract(page(f"<section {attrs}>{text}</section>")) == f"{LONG}\n{LONG}"
+    for attrs in ("class=social-science", "class=hidden-print", "class='wide commentary'", "class=has-comments"):
+        assert H.extract(page(f"<div><p>{LONG}</p><div {attrs}><p>{LONG}</p></div><p>{LONG}</p></div>")) == "\n".join([LONG] * 3)
+    comment = f"<div id=comments><article class=comment-body>{text}</article><article>{text * 4}</article></div>"
+    assert H.extract(page(f"<article>{text}</article>{comment}")) == f"{LONG}\n{LONG}"
+    for name in ("ad", "ad-slot", "site-footer", "post-comments", "cookie-banner", "nav-menu", "left-sidebar", "share-buttons", "top_nav", "related-posts", "newsletter-box", "cookiebanner"):
+        assert H.extract(page(f"<div><p>{LONG}</p><div class='x {name}'><p>Not of it</p></div><p>{LONG}</p></div>")) == f"{LONG}\n{LONG}"
