@@ -6,7 +6,9 @@ divided by the score it gets from itself, so one threshold fits all. Terms that
 can't carry an item to the threshold by themselves (the most frequent ones) don't
 open a passage; the others' sums bound what an item can reach, and for what passes
 block-max WAND finds every item above the threshold. Hits are verified by the
-5-word shingles of question and answer that occur in the passage.
+5-word shingles of question and answer (of the whole item, if it has no answer)
+that occur in the passage; parts of few words, of which one changed word takes
+most shingles, by the words that occur in order in a stretch of about their length.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ K1, B = 1.2, 0.75
 #: Of an item's own score; of the shingles of its question and of its answer.
 SCORE, OVERLAP = 0.5, 0.6
 SHINGLE = 5
+#: Parts of fewer words are aligned word by word; so many of their words must be found.
+ALIGNED, WORDS = 17, 0.7
 PASSAGE = 128
 BLOCK = 8
 #: Text of the items that one index holds; more items go to further indexes.
@@ -78,25 +82,24 @@ class Index:
     postings: list[Posting]
     essential: np.ndarray
     slack: np.ndarray  # of each item: what its other terms can add
-    parts: list[tuple[np.ndarray, np.ndarray, int, int]]  # question and answer shingles, words of each
+    parts: list[tuple[np.ndarray, np.ndarray]]  # words of question and answer
+    shingles: list[tuple[np.ndarray, np.ndarray]]  # of question and answer
     longest: int
     flat: tuple[np.ndarray, np.ndarray, np.ndarray] = field(default=None)  # starts, items, weights of all postings
 
 
 def build(rows: list[tuple]) -> Index | None:
-    """rows: (item_id, question, answer or None). Without an answer, an item's last quarter is taken for it."""
-    ids, words, parts = [], [], []
+    """rows: (item_id, question, answer or None). Without an answer, all of the item is the question."""
+    ids, words, parts, shingles = [], [], [], []
     for item, question, answer in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         q, a = terms(question or ""), terms(answer or "")
         every = np.concatenate([q, a])
         if not len(every):
             continue
-        if not len(a) and len(q) >= 2 * SHINGLE:
-            cut = len(q) - max(SHINGLE, len(q) // 4)
-            q, a = q[:cut], q[cut:]
         ids.append(item)
         words.append(every)
-        parts.append((shingle_hashes(q), shingle_hashes(a), len(q), len(a)))
+        parts.append((q, a))
+        shingles.append((shingle_hashes(q), shingle_hashes(a)))
     if not ids:
         return None
     n, mean = len(ids), sum(map(len, words)) / len(ids)
@@ -126,7 +129,7 @@ def build(rows: list[tuple]) -> Index | None:
         essential[t] = False
     starts = np.concatenate([[0], np.cumsum([len(p.items) for p in postings])])
     flat = (starts, np.concatenate([p.items for p in postings]), np.concatenate([p.weights for p in postings]))
-    return Index(ids, vocabulary, postings, essential, slack, parts, max(map(len, words)), flat)
+    return Index(ids, vocabulary, postings, essential, slack, parts, shingles, max(map(len, words)), flat)
 
 
 def block_max_wand(index: Index, query: list[int], threshold: float) -> dict[int, float]:
@@ -231,21 +234,44 @@ def search(index: Index, text: pa.Array) -> Iterator[tuple[int, int, float, floa
             near = h[max(int(bounds[row]), begin - index.longest) : min(int(bounds[row + 1]), end + index.longest)]
             have = np.unique(K.windows(near, np.array([0, len(near)]), SHINGLE)[0])
             for item, score in hits.items():
-                question, answer, n_q, n_a = index.parts[item]
-                q, a = overlap(question, n_q, near, have), overlap(answer, n_a, near, have)
-                if q >= OVERLAP and a >= OVERLAP:
+                (q, q_ok), (a, a_ok) = (overlap(p, x, near, have) for p, x in zip(index.parts[item], index.shingles[item], strict=True))
+                if q_ok and a_ok:
                     best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (score, q, a))
         for (row, item), x in sorted(best.items()):
             yield first + row, item, *x
 
 
-def overlap(part: np.ndarray, n: int, near: np.ndarray, have: np.ndarray) -> float:
-    """The share of a part's shingles in the passage; a part shorter than a shingle must occur as it is."""
+def aligned(part: np.ndarray, near: np.ndarray) -> int:
+    """The most words of the part that occur in its order in a stretch of the passage a quarter longer."""
+    at, width = np.flatnonzero(np.isin(near, part)), len(part) + max(1, len(part) // 4)
+    need, most = math.ceil(WORDS * len(part)), 0
+    words = part.tolist()
+    for k in np.flatnonzero(np.searchsorted(at, at + width) - np.arange(len(at)) >= need).tolist():
+        row = [0] * (len(words) + 1)
+        for x in near[at[k] : at[k] + width].tolist():
+            last = 0
+            for j, w in enumerate(words):
+                last, row[j + 1] = row[j + 1], last + 1 if w == x else max(row[j + 1], row[j])
+        most = max(most, row[-1])
+    return most
+
+
+def overlap(part: np.ndarray, shingles: np.ndarray, near: np.ndarray, have: np.ndarray) -> tuple[float, bool]:
+    """The share of a part in the passage, and whether it is enough.
+
+    A part's shingles count, or its words in order if it has few; one shorter than a shingle must occur as it is.
+    """
+    n = len(part)
     if not n:
-        return 1.0
-    if n >= SHINGLE:
-        return float(np.isin(part, have).mean())
-    return float(any(shingle_hashes(near[k : k + n])[0] == part[0] for k in range(len(near) - n + 1)))
+        return 1.0, True
+    if n < SHINGLE:
+        found = any(shingle_hashes(near[k : k + n])[0] == shingles[0] for k in range(len(near) - n + 1))
+        return float(found), found
+    share = float(np.isin(shingles, have).mean())
+    if share < OVERLAP and n < ALIGNED:
+        share = aligned(part, near) / n
+        return share, share >= WORDS
+    return share, share >= OVERLAP
 
 
 def indexes(benchmark: DataFrame) -> list[Index]:

@@ -380,6 +380,18 @@ def test_question_and_answer_both_count(spark, make):
     assert rows(decontam.contaminated(docs, items), "doc_id", "item_id") == [(1, 1), (4, 1)]
 
 
+def test_near_verbatim_items_are_found(spark, make):
+    """One changed word at any place, a cut end or the first three quarters, in items without an answer."""
+    for n in (8, 10, 12, 16, 17, 24, 36):
+        words = [f"item{n}w{i}" for i in range(n)]
+        filler = " ".join(f"f{i}" for i in range(200))
+        forms = [words[:i] + ["changed"] + words[i + 1 :] for i in range(n)] + [words[:-1], words[1:], words[: -(-3 * n // 4)], words]
+        docs = make(*[(i, f"{filler} {' '.join(f)} {filler}") for i, f in enumerate(forms)], (1000, f"{filler} {' '.join(words[::-1])} {filler}"), (1001, f" {filler} ".join(words[: n // 2])))
+        # other items, so that each word says something
+        items = spark.createDataFrame([(1, " ".join(words)), (2, "some other item of words that are not in any of these documents at all")], "item_id long, text string")
+        assert rows(decontam.contaminated(docs, items), "doc_id", "item_id") == sorted([(i, 1) for i in range(len(forms))], key=repr)
+
+
 def test_decontamination_odd_tables(odd, empty, spark):
     items = spark.createDataFrame([(1, "the same words in the same order, again and again"), (1, "the same words in the same order, again and again"), (2, None), (3, ""), (None, "word3 filler3")], "item_id long, text string")
     got = rows(decontam.contaminated(odd, items), "doc_id", "item_id")
