@@ -61,9 +61,9 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, limits: list[np.ndarray],
     return tree
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, ridge: float = 1.0) -> Boosted:
-    """Trained on the even rows; slope and shift of the probability are fitted on the odd ones (Platt)."""
-    fit, hold = np.arange(0, len(y), 2), np.arange(1, len(y), 2)
+def boost(x: np.ndarray, y: np.ndarray, fit: np.ndarray, hold: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.3, ridge: float = 1.0) -> Boosted:
+    """Trained on the rows of mask fit; slope and shift of the probability are fitted on those of hold (Platt)."""
+    fit, hold = np.flatnonzero(fit), np.flatnonzero(hold)
     limits = []
     for f in range(x.shape[1]):
         v = np.unique(x[fit, f])
