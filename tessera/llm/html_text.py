@@ -5,8 +5,9 @@ its characters, link characters, tags and link tags; its composite density is
 the link-adjusted characters per tag, and a node's density sum is the sum over
 its children. The threshold is the least density on the path from the node of the
 largest sum to the body; from the body down, the subtrees of the largest sum in the
-nodes that reach it are the main content, joined in page order.
-Parts that are no content by their element or role are left out throughout.
+nodes that reach it are the main content, joined in page order. No element is main
+content by its tag: density alone decides. What is no content by its element, or by a
+class or id that as a whole names such a part, is left out first.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template svg".split())
 #: Elements whose text is never content.
-DROPPED = frozenset("head script style noscript iframe template svg nav header footer aside form button select option textarea input label menu dialog object embed canvas audio video map title".split())
+DROPPED = frozenset("head script style noscript iframe template svg nav footer aside form button select option textarea input dialog object embed canvas audio video map title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -41,6 +42,11 @@ OTHER = re.compile(rf"{BESIDE}|..?|[0-9x]+")
 LAST = re.compile(r"ads?|advert(?:s|isements?|ising)?|nav|navbar|navigation|breadcrumbs?|sidebar|footer|comments|newsletter|pagination|menu|banner|notice|popup|modal|widget")
 #: What a name with one of these says is of the page, not of the part.
 MODIFIER = frozenset("has no with without not non show by free".split())
+#: Words of names that may as well say what a passage of the article is about.
+SUBJECT = re.compile(r"notices?|social|shar(?:e|es|ing)|related|recommend(?:s|ed|ations?)?|login|search|copyright|legal|disclaimers?|alerts?|respon(?:ses?|d)|promo(?:s|tions?|ted)?|headers?|masthead|menus?|side|skip|subscri(?:be|bers?|ptions?)|signup|toolbars?|consent|widgets?")
+HEADING = re.compile("h[1-6]")
+#: So much text without links reads as prose.
+PROSE = 80
 ABOUT_COMMENTS = re.compile(r"comments?|disqus|repl(?:y|ies)|respon(?:ses?|d)")
 WORD = re.compile(r"[^\W_]+")
 NEUTRAL = frozenset("html body main article".split())
@@ -81,9 +87,10 @@ def part_names(node: Node) -> list[str]:
     return found
 
 
-def never_shown(node: Node) -> bool:
-    """Left out by its element or as hidden, whatever it holds."""
-    if node.tag in DROPPED:
+def never_shown(node: Node, inside: bool) -> bool:
+    """Left out by its element or as hidden, whatever it holds; inside: of an article or main element, whose header
+    belongs to it."""
+    if node.tag in DROPPED or (node.tag == "header" and not inside):
         return True
     if not node.attrs or node.tag in NEUTRAL:
         return False
@@ -93,37 +100,59 @@ def never_shown(node: Node) -> bool:
 def drop_parts(root: Node) -> None:
     """Marks what is no content.
 
-    A name alone drops no element that holds an article or main element or, in a page without
-    one outside of it, most of the text; comments beside an article are dropped all the same.
+    By its name alone no heading goes, nothing that holds an article or main element (nor, inside of one or of the
+    container of most text, an h1), and, in a page without an article outside of it, nothing that holds most of the
+    text. Reader comments go if other prose is left. Names that may be a subject drop no prose from the container or
+    article that it lies in. A menu element goes if half of its text is links.
     """
-    order: list[tuple[Node, Node | None]] = []
-    todo: list[tuple[Node, Node | None]] = [(root, None)]
+    order: list[tuple[Node, Node | None, bool]] = []
+    todo: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
     while todo:
-        node, parent = todo.pop()
-        node.dropped = (parent is not None and parent.dropped) or never_shown(node)
-        order.append((node, parent))
-        todo.extend((k, node) for k in reversed(node.kids) if not isinstance(k, str))
-    names = {id(n): found for n, _ in order if not n.dropped and (found := part_names(n))}
+        node, parent, inside = todo.pop()
+        node.dropped = (parent is not None and parent.dropped) or never_shown(node, inside)
+        order.append((node, parent, inside))
+        inside = inside or node.tag in ("article", "main")
+        todo.extend((k, node, inside) for k in reversed(node.kids) if not isinstance(k, str))
+    names = {id(n): found for n, _, _ in order if not n.dropped and n.tag not in NEUTRAL and not HEADING.fullmatch(n.tag) and (found := part_names(n) or ["menu"] * (n.tag == "menu"))}
     if not names:
         return
-    size, articles = {}, {}
-    for node, parent in reversed(order):
+    # of each node: characters, those in links, article elements without such a name, whether it holds an h1, its longest text outside of links and named parts
+    facts = {id(n): [0, 0, 0, False, 0] for n, _, _ in order}
+    for node, parent, _ in reversed(order):
         if node.dropped:
             continue
-        own = size[id(node)] = size.get(id(node), 0) + sum(len(k.strip()) for k in node.kids if isinstance(k, str))
-        held = articles[id(node)] = articles.get(id(node), 0) + (node.tag in ("article", "main") and own > 0 and id(node) not in names)
+        f = facts[id(node)]
+        text = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        f[0] += text
+        f[1] = f[0] if node.tag == "a" else f[1]
+        f[2] += node.tag in ("article", "main") and f[0] > 0 and id(node) not in names
+        f[3] |= node.tag == "h1"
+        f[4] = 0 if node.tag == "a" or id(node) in names else max(f[4], text)
         if parent is not None:
-            size[id(parent)] = size.get(id(parent), 0) + own
-            articles[id(parent)] = articles.get(id(parent), 0) + held
-    for node, parent in order:
+            up = facts[id(parent)]
+            up[:4] = up[0] + f[0], up[1] + f[1], up[2] + f[2], up[3] or f[3]
+            up[4] = max(up[4], f[4])
+    size, _, articles, _, prose = facts[id(root)]
+    holder: set[int] = set()
+    for node, parent, inside in order:
         if parent is not None and parent.dropped:
             node.dropped = True
-        elif not node.dropped and node.tag not in NEUTRAL and id(node) in names:
-            held = articles[id(node)]
-            if articles[id(root)] > held:
-                node.dropped = not held or any(ABOUT_COMMENTS.search(x) for x in names[id(node)])
-            else:
-                node.dropped = not held and 2 * size[id(node)] <= size[id(root)]
+        if node.dropped:
+            continue
+        own, links, held, titled, _ = facts[id(node)]
+        inside = inside or id(parent) in holder
+        if id(parent) in holder or (2 * own > size and node.tag not in ("html", "body")):
+            holder.add(id(node))
+        found = names.get(id(node))
+        if not found:
+            continue
+        if node.tag == "menu" and found == ["menu"]:
+            node.dropped = 2 * links >= own
+        elif any(ABOUT_COMMENTS.search(x) for x in found):
+            node.dropped = 2 * prose >= PROSE or 2 * own <= size
+        elif not held and (articles or 2 * own <= size):
+            about = own - links >= PROSE and 3 * links < own and all(SUBJECT.fullmatch(w) or OTHER.fullmatch(w) for x in found for w in WORD.findall(x))
+            node.dropped = not inside or not (titled or about)
 
 
 def parse(page: str) -> Node:
@@ -275,48 +304,27 @@ def main_nodes(root: Node) -> list[Node]:
     """The main content in page order: maximum-sum subtrees, under the threshold of the path from the body.
 
     The threshold is the least density on the path from the densest-sum node up to the body;
-    every node that reaches it, from the body down, gives its maximum-sum subtree. If the
-    densest-sum one lies in an article or main element, or these hold half of its text, they
-    bound the content. Headings right before what is kept belong to it.
+    every node that reaches it, from the body down, gives its maximum-sum subtree. Headings
+    right before what is kept belong to it.
     """
     order = measure(root)
     parents = {id(n): p for n, p in order}
     alive = [n for n, _ in order if not n.dropped and n.chars]
     if not alive:
         return []
-
-    def above(node: Node | None, tags: tuple[str, ...]) -> Node | None:
-        while node is not None and node.tag not in tags:
-            node = parents[id(node)]
-        return node
-
     best = max(alive, key=lambda n: (n.sum, n.chars))
-    top = above(best, ("body",)) or root
+    top: Node | None = best
+    while top is not None and top.tag != "body":
+        top = parents[id(top)]
+    top = top or root
     threshold, node = best.density, best
     while node is not top:
         node = parents[id(node)]
         threshold = min(threshold, node.density)
-    semantic = ("article", "main")
-    named = [n for n in alive if n.tag in semantic]
-    outer = [n for n in named if above(parents[id(n)], semantic) is None]
-    inside = above(best, semantic)
-    if inside is None:
-        # one paragraph is no article: its container is
-        while parents[id(best)] is not None and (best.tag not in BLOCK or best.tag in ("p", "li", "td", "tr", "blockquote", "pre") or re.fullmatch("h[1-6]", best.tag)):
-            best = parents[id(best)]
-    parts = [inside or best, *marked(top, order, threshold)]
-    if inside is not None:
-        held = {id(p) for p in parts}
-        parts = [a for p in parts if (a := above(p, semantic)) is not None] + [n for n in outer if lies_within(n, held, parents)]
-    elif outer and 2 * sum(n.chars for n in outer) >= best.chars:
-        parts = outer
-    return whole(parts, order)
-
-
-def lies_within(node: Node | None, held: set[int], parents: dict[int, Node | None]) -> bool:
-    while node is not None and id(node) not in held:
-        node = parents[id(node)]
-    return node is not None
+    # one paragraph is no article: its container is
+    while parents[id(best)] is not None and (best.tag not in BLOCK or best.tag in ("p", "li", "td", "tr", "blockquote", "pre") or HEADING.fullmatch(best.tag)):
+        best = parents[id(best)]
+    return whole([best, *marked(top, order, threshold)], order)
 
 
 def whole(parts: list[Node], order: list[tuple[Node, Node | None]]) -> list[Node]:
@@ -343,7 +351,7 @@ def whole(parts: list[Node], order: list[tuple[Node, Node | None]]) -> list[Node
         elif x.dropped:
             if not parents[id(x)].dropped and x.tag not in ("head", "script", "style", "noscript", "template"):
                 waiting = [h for h in waiting if h.tag == "h1"]
-        elif re.fullmatch("h[1-6]", x.tag) and x.chars:
+        elif HEADING.fullmatch(x.tag) and x.chars:
             waiting.append(x)
         else:
             todo.extend(reversed(x.kids))

@@ -68,3 +68,25 @@ def test_names_that_do_not_name_a_part():
     assert H.extract(page(f"<article>{text}</article>{comment}")) == f"{LONG}\n{LONG}"
     for name in ("ad", "ad-slot", "site-footer", "post-comments", "cookie-banner", "nav-menu", "left-sidebar", "share-buttons", "top_nav", "related-posts", "newsletter-box", "cookiebanner"):
         assert H.extract(page(f"<div><p>{LONG}</p><div class='x {name}'><p>Not of it</p></div><p>{LONG}</p></div>")) == f"{LONG}\n{LONG}"
+
+
+def test_names_within_an_article_drop_no_content():
+    text = f"<p>{LONG}</p><p>{LONG}</p>"
+    got = H.extract(page(f'<article><h1 class="entry-header">Title</h1>{text}<p class="share-price">The price rose</p><section id="legal-history"><p>{LONG}</p></section><div class="legal"><p>{LONG}</p></div><label>So it is</label><menu><li>One</li></menu></article>'))
+    assert got == "\n".join(["Title", LONG, LONG, "The price rose", LONG, LONG, "So it is", "One"])
+    assert H.extract(page(f'<main><div class="article-header"><h1>Title</h1></div>{text}</main>')) == f"Title\n{LONG}\n{LONG}"
+    assert H.extract(page(f"<article><header><h1>Title</h1><p>By someone</p></header>{text}</article>")) == f"Title\nBy someone\n{LONG}\n{LONG}"
+    assert H.extract(page(f"<header><h1>Site</h1></header><main>{text}<menu><li><a href=1>One</a><li><a href=2>Two</a></menu></main>")) == f"{LONG}\n{LONG}"
+    several = "".join(f"<div class=comment><p>{LONG}</p></div>" for _ in range(5))
+    for box in ("main", "div class=content", "article"):
+        assert H.extract(page(f"<{box}>{text}<section id=comments><h2>Comments</h2>{several}</section></{box.split()[0]}>")) == f"{LONG}\n{LONG}"
+    menu = "".join(f"<a href={i}>link {i}</a>" for i in range(9))
+    assert H.extract(page(f"<table><tr><td>{menu}</td><td><table><tr><td><h1>Title</h1>{text}</td></tr></table></td></tr></table>")) == f"Title\n{LONG}\n{LONG}"
+
+
+def test_density_decides_without_article_elements(spark):
+    """The same pages with their article elements renamed give the same text, if that is most of the page's."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for page_id, _, p in pages.collect():
+        for tag in ("div", "section", "main") if len(H.extract(p)) > 300 else ("main",):
+            assert H.extract(re.sub(r"(</?)article>", rf"\1{tag}>", p)) == H.extract(p), (page_id, tag)
