@@ -6,12 +6,20 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel as K
+
 BATCH_ROWS = 1000
+#: Bits of the filter that spares rows an exchange; when full it spares none.
+FILTER_BITS = 1 << 24
 #: The white space of every contract here: ASCII only.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -81,3 +89,28 @@ def n_words(text: Column) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+
+
+def maybe_in(ids: DataFrame, column: str = "doc") -> Column:
+    """A condition on a column that holds for every id in ids (doc), and for few others while the filter isn't full; neither holds nulls."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 64, K.U)
+        for x in batches:
+            h = K.mix(x.column("doc").to_numpy().view(K.U))
+            np.bitwise_or.at(bits, ((h >> K.U(6)) % K.U(len(bits))).astype(np.int64), K.U(1) << (h & K.U(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["at", "bits"])
+
+    # FILTER_BITS / 64 rows at most
+    rows = ids.select("doc").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, K.U)
+    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(K.U)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def member(doc: pd.Series) -> pd.Series:
+        own = shared.value
+        h = K.mix(doc.to_numpy().view(K.U))
+        return pd.Series(((own[((h >> K.U(6)) % K.U(len(own))).astype(np.int64)] >> (h & K.U(63))) & K.U(1)).astype(bool))
+
+    return member(column)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import kernel as K
-from .common import ship, stage
+from .common import maybe_in, ship, stage
 
 LENGTH = 100
 GRAM = 40
@@ -44,8 +44,6 @@ SPAN = LENGTH - GRAM
 BLOCK = 400_000
 #: Text of the documents whose marks meet in one bucket.
 BUCKET_BYTES = 8 << 20
-#: Bits of the filter that spares documents without an edge or cover from the exchange; when full it spares none.
-FILTER_BITS = 1 << 24
 #: Hot grams: so many marks in a sample of one document in SAMPLE (of at most a million), and more than HOT_SHARE of its marks.
 SAMPLE, SAMPLED = 64, 1_000_000
 HOT_LEAST, HOT_SHARE = 1000, 1e-6
@@ -263,31 +261,6 @@ def settle_contexts(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "doc long, th int, start int, end int, g long")
 
 
-def maybe_in(ids: DataFrame) -> Column:
-    """A condition on column doc that holds for every id in ids (doc), and for few others while the filter isn't full."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS // 64, K.U)
-        for x in batches:
-            h = K.mix(x.column("doc").to_numpy().view(K.U))
-            np.bitwise_or.at(bits, ((h >> K.U(6)) % K.U(len(bits))).astype(np.int64), K.U(1) << (h & K.U(63)))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["at", "bits"])
-
-    # FILTER_BITS / 64 rows at most
-    rows = ids.select("doc").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, K.U)
-    bits[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(K.U)
-    shared = ids.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def member(doc: pd.Series) -> pd.Series:
-        own = shared.value
-        h = K.mix(doc.to_numpy().view(K.U))
-        return pd.Series(((own[((h >> K.U(6)) % K.U(len(own))).astype(np.int64)] >> (h & K.U(63))) & K.U(1)).astype(bool))
-
-    return member("doc")
-
-
 def edge_contexts(docs: DataFrame, edges: DataFrame, buckets: int) -> DataFrame:
     """bucket, g, doc, th, off, left, context of every edge."""
     own = edges.groupBy("doc", "th").agg(F.collect_list(F.struct("g", F.col("start").alias("off"))).alias("e"))  # as many as the text has at most
