@@ -5,7 +5,8 @@ length. Suffixes are compared only where a local minimum of the hashes of GRAM
 bytes marks one: every window of LENGTH bytes has such a mark, at the same place in
 all its copies. Marks are brought together by their gram hash and merge-sorted with
 the hash of their whole context (all bytes that any window through the mark can
-have) and their place. A context seen before at another place is covered outright.
+have) and their place. A context seen before at another place is covered outright: the hash
+that tells so is no polynomial one, but the 128-bit BLAKE2b digest of the bytes.
 Where contexts differ, at the edges of what is shared, and where marks of a short
 text have it all as their context, the suffixes from the marks on and the
 reversed prefixes before them are merge-sorted: two are compared by a binary search
@@ -48,8 +49,8 @@ BUCKET_BYTES = 8 << 20
 SAMPLE, SAMPLED = 64, 1_000_000
 HOT_LEAST, HOT_SHARE = 1000, 1e-6
 LAST = np.uint64(2**64 - 1)
-#: A mark: gram hash, context hash, document, hash of its text, offset, bytes of context to the left and right.
-MARK = np.dtype([("g", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("off", "<i4"), ("left", "i1"), ("right", "i1")])
+#: A mark: gram hash, digest of the context, document, hash of its text, offset, bytes of context to the left and right.
+MARK = np.dtype([("g", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("off", "<i4"), ("left", "i1"), ("right", "i1")])
 WINDOW = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("start", "<i4")])
 PLACE = np.dtype([("doc", "<i8"), ("th", "<i4"), ("start", "<i4"), ("end", "<i4")])
 
@@ -64,13 +65,19 @@ def sliding(a: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
     return a
 
 
-def marks(data: np.ndarray, offsets: np.ndarray, h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the marks in a slice: text, place in the slice, bytes of context to the left and right, gram and
-    context hash. h, h2: the prefix hashes."""
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b digests of the byte ranges, two numbers each."""
+    b, f = data.tobytes(), hashlib.blake2b
+    return np.frombuffer(b"".join([f(b[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist(), strict=True)]), K.U).reshape(-1, 2)
+
+
+def marks(data: np.ndarray, offsets: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the marks in a slice: text, place in the slice, bytes of context to the left and right, gram hash.
+    h: the prefix hashes."""
     n = len(data) - GRAM + 1
     empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return empty, empty, empty, empty, empty.astype(K.U), empty.astype(K.U)
+        return empty, empty, empty, empty, empty.astype(K.U)
     down = K.powers(len(h))[1]
     g = K.mix((h[GRAM:] - h[:-GRAM]) * down[:n])
     # grams over the border of two texts are none
@@ -87,21 +94,21 @@ def marks(data: np.ndarray, offsets: np.ndarray, h: np.ndarray, h2: np.ndarray)
     at, of = at[long_enough], of[long_enough]
     left = np.minimum(SPAN, at - offsets[of])
     right = np.minimum(SPAN, offsets[of + 1] - at - GRAM)
-    return of, at, left, right, g[at], K.spans_hash(h2, at - left, at + GRAM + right, 1)
+    return of, at, left, right, g[at]
 
 
-def windows_of(at: np.ndarray, left: np.ndarray, right: np.ndarray, h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The windows through marks: index of the mark, start in the slice, two hashes."""
+def windows_of(data: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows through marks: index of the mark, start in the slice, digest."""
     back = np.arange(SPAN + 1)
     fits = (left[:, None] >= back) & (right[:, None] >= SPAN - back)
     mark, b = np.nonzero(fits)
     start = at[mark] - b
-    return mark, start, K.spans_hash(h, start, start + LENGTH), K.spans_hash(h2, start, start + LENGTH, 1)
+    return mark, start, digests(data, start, start + LENGTH)
 
 
 def order_of(m: np.ndarray) -> np.ndarray:
     """Merge sort by gram, context and place."""
-    return np.lexsort((m["off"], m["th"], m["doc"], m["c"], m["g"]))
+    return np.lexsort((m["off"], m["th"], m["doc"], m["c2"], m["c"], m["g"]))
 
 
 def groups(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +121,7 @@ def groups(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new_g = np.ones(len(m), bool)
     new_g[1:] = m["g"][1:] != m["g"][:-1]
     new_c = new_g.copy()
-    new_c[1:] |= m["c"][1:] != m["c"][:-1]
+    new_c[1:] |= (m["c"][1:] != m["c"][:-1]) | (m["c2"][1:] != m["c2"][:-1])
     again = ~new_c
     for k in ("doc", "th", "off"):
         again[1:] &= m[k][1:] == m[k][:-1]
@@ -164,7 +171,7 @@ def hot_grams(docs: DataFrame, n_docs: int, sample: int = SAMPLE, least: int = H
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for _, _, data, offsets in K.slices(x.column("text")):
-                g, n = np.unique(marks(data, offsets, K.prefix(data), K.prefix(data, which=1))[4], return_counts=True)
+                g, n = np.unique(marks(data, offsets, K.prefix(data))[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
 
     some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(max(sample, n_docs // SAMPLED))) == 0)
@@ -186,100 +193,107 @@ def firsts(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[new], out
 
 
+def block(parts: list[np.ndarray], wide: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """bucket, marks, windows, covers: marks by gram hash, windows by theirs, less what is settled among them."""
+    m, _, own = groups(np.concatenate(parts))
+    covers = [covers_of(m[~own])]
+    m = m[own]
+    w = np.concatenate(wide) if wide else np.zeros(0, WINDOW)
+    if len(w):
+        w, more = firsts(w)
+        covers.append(more)
+    covers = joined(np.concatenate(covers))
+    cuts, sent = [], []
+    for x, key in ((m, "g"), (w, "w1")):
+        to = (x[key] % K.U(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        sent.append(x[order])
+        cuts.append(np.searchsorted(to[order], np.arange(buckets + 1)))
+    sent.append(covers)
+    cuts.append(np.linspace(0, len(covers), buckets + 1).astype(int))
+    used = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
+    blobs = [pa.array([x[c[b] : c[b + 1]].tobytes() for b in used], pa.binary()) for x, c in zip(sent, cuts, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *blobs], ["bucket", "marks", "windows", "covers"])
+
+
+def blocks(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks of rows doc, th, text."""
+    parts, wide, n = [], [], 0
+    for x in batches:
+        doc, th = x.column("doc").to_numpy(), x.column("th").to_numpy()
+        for i, _, data, offsets in K.slices(x.column("text")):
+            of, at, left, right, g = marks(data, offsets, K.prefix(data))
+            if len(hot) and (is_hot := np.isin(g, hot)).any():
+                mark, start, digest = windows_of(data, at[is_hot], left[is_hot], right[is_hot])
+                w = np.empty(len(mark), WINDOW)
+                text = of[is_hot][mark]
+                w["w1"], w["w2"], w["start"] = digest[:, 0], digest[:, 1], start - offsets[text]
+                w["doc"], w["th"] = doc[i + text], th[i + text]
+                wide.append(w)
+                n += len(w)
+                of, at, left, right, g = (v[~is_hot] for v in (of, at, left, right, g))
+            m = np.empty(len(of), MARK)
+            c = digests(data, at - left, at + GRAM + right)
+            m["g"], m["c"], m["c2"], m["off"], m["left"], m["right"] = g, c[:, 0], c[:, 1], at - offsets[of], left, right
+            m["doc"], m["th"] = doc[i + of], th[i + of]
+            parts.append(m)
+            n += len(m)
+            if n >= BLOCK:
+                yield block(parts, wide, buckets)
+                parts, wide, n = [], [], 0
+    if n:
+        yield block(parts, wide, buckets)
+
+
 def send_marks(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """bucket, marks, windows, covers: blocks of marks by gram hash, windows of hot grams by theirs, and what was
     settled within the block."""
-    def block(parts: list[np.ndarray], wide: list[np.ndarray]) -> pa.RecordBatch:
-        m, _, own = groups(np.concatenate(parts))
-        covers = [covers_of(m[~own])]
-        m = m[own]
-        w = np.concatenate(wide) if wide else np.zeros(0, WINDOW)
-        if len(w):
-            w, more = firsts(w)
-            covers.append(more)
-        covers = joined(np.concatenate(covers))
-        cuts, sent = [], []
-        for x, key in ((m, "g"), (w, "w1")):
-            to = (x[key] % K.U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            sent.append(x[order])
-            cuts.append(np.searchsorted(to[order], np.arange(buckets + 1)))
-        sent.append(covers)
-        cuts.append(np.linspace(0, len(covers), buckets + 1).astype(int))
-        used = [b for b in range(buckets) if any(c[b] < c[b + 1] for c in cuts)]
-        blobs = [pa.array([x[c[b] : c[b + 1]].tobytes() for b in used], pa.binary()) for x, c in zip(sent, cuts, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *blobs], ["bucket", "marks", "windows", "covers"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, wide, n = [], [], 0
-        for x in batches:
-            doc, th = x.column("doc").to_numpy(), x.column("th").to_numpy()
-            for i, _, data, offsets in K.slices(x.column("text")):
-                h, h2 = K.prefix(data), K.prefix(data, which=1)
-                of, at, left, right, g, c = marks(data, offsets, h, h2)
-                if len(hot) and (is_hot := np.isin(g, hot)).any():
-                    mark, start, w1, w2 = windows_of(at[is_hot], left[is_hot], right[is_hot], h, h2)
-                    w = np.empty(len(mark), WINDOW)
-                    text = of[is_hot][mark]
-                    w["w1"], w["w2"], w["start"] = w1, w2, start - offsets[text]
-                    w["doc"], w["th"] = doc[i + text], th[i + text]
-                    wide.append(w)
-                    n += len(w)
-                    of, at, left, right, g, c = (v[~is_hot] for v in (of, at, left, right, g, c))
-                m = np.empty(len(of), MARK)
-                m["g"], m["c"], m["off"], m["left"], m["right"] = g, c, at - offsets[of], left, right
-                m["doc"], m["th"] = doc[i + of], th[i + of]
-                parts.append(m)
-                n += len(m)
-                if n >= BLOCK:
-                    yield block(parts, wide)
-                    parts, wide, n = [], [], 0
-        if n:
-            yield block(parts, wide)
-
-    return docs.select("doc", "th", "text").mapInArrow(run, "bucket int, marks binary, windows binary, covers binary")
+    return docs.select("doc", "th", "text").mapInArrow(lambda batches: blocks(batches, buckets, hot), "bucket int, marks binary, windows binary, covers binary")
+
+
+def settled(t: pa.Table) -> pa.Table:
+    """What settle_contexts gives of one bucket."""
+    m = np.frombuffer(b"".join(x.as_py() for x in t.column("marks")), MARK)
+    covers = np.frombuffer(b"".join(x.as_py() for x in t.column("covers")), PLACE)
+    _, more = firsts(np.frombuffer(b"".join(x.as_py() for x in t.column("windows")), WINDOW))
+    m, new_g, own = groups(m)
+    covers = joined(np.concatenate([covers, more, covers_of(m[~own])]))
+    # grams with several marks that are no copies, of other contexts or in one short text: these are at an edge
+    gram = np.cumsum(new_g) - 1
+    several = np.bincount(gram[own], minlength=int(new_g.sum())) > 1
+    edge = m[own & several[gram]]
+    g = pa.array(np.concatenate([np.zeros(len(covers), np.int64), edge["g"].view(np.int64)]), mask=np.arange(len(covers) + len(edge)) < len(covers))
+    return pa.table([
+        pa.array(np.concatenate([covers["doc"], edge["doc"]])), pa.array(np.concatenate([covers["th"], edge["th"]])),
+        pa.array(np.concatenate([covers["start"], edge["off"]])), pa.array(np.concatenate([covers["end"], edge["off"]])), g,
+    ], names=["doc", "th", "start", "end", "g"])
 
 
 def settle_contexts(sent: DataFrame) -> DataFrame:
     """doc, th, start, end of covered ranges, and (g not null) doc, th, start of the marks at edges."""
-    def run(t: pa.Table) -> pa.Table:
-        m = np.frombuffer(b"".join(x.as_py() for x in t.column("marks")), MARK)
-        covers = np.frombuffer(b"".join(x.as_py() for x in t.column("covers")), PLACE)
-        _, more = firsts(np.frombuffer(b"".join(x.as_py() for x in t.column("windows")), WINDOW))
-        m, new_g, own = groups(m)
-        covers = joined(np.concatenate([covers, more, covers_of(m[~own])]))
-        # grams with several marks that are no copies, of other contexts or in one short text: these are at an edge
-        gram = np.cumsum(new_g) - 1
-        several = np.bincount(gram[own], minlength=int(new_g.sum())) > 1
-        edge = m[own & several[gram]]
-        g = pa.array(np.concatenate([np.zeros(len(covers), np.int64), edge["g"].view(np.int64)]), mask=np.arange(len(covers) + len(edge)) < len(covers))
-        return pa.table([
-            pa.array(np.concatenate([covers["doc"], edge["doc"]])), pa.array(np.concatenate([covers["th"], edge["th"]])),
-            pa.array(np.concatenate([covers["start"], edge["off"]])), pa.array(np.concatenate([covers["end"], edge["off"]])), g,
-        ], names=["doc", "th", "start", "end", "g"])
-
-    return sent.groupBy("bucket").applyInArrow(run, "doc long, th int, start int, end int, g long")
+    return sent.groupBy("bucket").applyInArrow(settled, "doc long, th int, start int, end int, g long")
+
+
+def contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket, g, doc, th, off, left, context of every edge in rows doc, th, text, e (g, off)."""
+    for x in batches:
+        for k in range(len(x)):
+            e = x.column("e")[k].values
+            off = e.field("off").to_numpy()
+            text = x.column("text")[k].as_py().encode()
+            left = np.minimum(off, SPAN)
+            context = [text[o - s : o + LENGTH] for o, s in zip(off.tolist(), left.tolist(), strict=True)]
+            g = e.field("g")
+            to = (g.to_numpy().view(K.U) % K.U(buckets)).astype(np.int32)
+            doc = pa.array(np.full(len(off), x.column("doc")[k].as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(to), g, doc, pa.array(np.full(len(off), x.column("th")[k].as_py(), np.int32)), pa.array(off), pa.array(left.astype(np.int32)), pa.array(context, pa.binary())], ["bucket", "g", "doc", "th", "off", "left", "context"])
 
 
 def edge_contexts(docs: DataFrame, edges: DataFrame, buckets: int) -> DataFrame:
     """bucket, g, doc, th, off, left, context of every edge."""
     own = edges.groupBy("doc", "th").agg(F.collect_list(F.struct("g", F.col("start").alias("off"))).alias("e"))  # as many as the text has at most
-    met = docs.join(own, ["doc", "th"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for k in range(len(x)):
-                e = x.column("e")[k].values
-                off = e.field("off").to_numpy()
-                text = x.column("text")[k].as_py().encode()
-                left = np.minimum(off, SPAN)
-                context = [text[o - s : o + LENGTH] for o, s in zip(off.tolist(), left.tolist(), strict=True)]
-                g = e.field("g")
-                to = (g.to_numpy().view(K.U) % K.U(buckets)).astype(np.int32)
-                doc = pa.array(np.full(len(off), x.column("doc")[k].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array(to), g, doc, pa.array(np.full(len(off), x.column("th")[k].as_py(), np.int32)), pa.array(off), pa.array(left.astype(np.int32)), pa.array(context, pa.binary())], ["bucket", "g", "doc", "th", "off", "left", "context"])
-
-    return met.select("doc", "th", "text", "e").mapInArrow(run, "bucket int, g long, doc long, th int, off int, left int, context binary")
+    met = docs.join(own, ["doc", "th"]).select("doc", "th", "text", "e")
+    return met.mapInArrow(lambda batches: contexts(batches, buckets), "bucket int, g long, doc long, th int, off int, left int, context binary")
 
 
 class Suffixes:
@@ -424,32 +438,34 @@ def covered_windows(data: np.ndarray, at: np.ndarray, left: np.ndarray, group: n
     return near, far
 
 
-def settle_edges(contexts: DataFrame) -> DataFrame:
+def settled_edges(t: pa.Table) -> pa.Table:
+    """What settle_edges gives of one bucket."""
+    g, doc, th, off, left = (t.column(c).to_numpy() for c in ("g", "doc", "th", "off", "left"))
+    order = np.lexsort((off, th, doc, g))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([v[order][1:] != v[order][:-1] for v in (g, doc, th, off)], axis=0)
+    order = order[fresh]
+    g, doc, th, off, left = (v[order] for v in (g, doc, th, off, left.astype(np.int64)))
+    new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    column, out, i = t.column("context"), [], 0
+    while i < len(g):
+        # whole grams, about 8192 contexts at a time
+        k = int(np.searchsorted(new, i + 8192))
+        j = int(new[k]) if k < len(new) else len(g)
+        own = column.take(pa.array(order[i:j])).to_pylist()
+        at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        near, far = covered_windows(np.frombuffer(b"".join(own), np.uint8), at, left[i:j], g[i:j])
+        hit = i + np.flatnonzero(far >= 0)
+        # all windows of a context hold its mark, so their union is one range
+        out.append((doc[hit], th[hit], (off[hit] - far[hit - i]).astype(np.int32), (off[hit] - near[hit - i] + LENGTH).astype(np.int32)))
+        i = j
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.table([pa.array(c) for c in cols], names=["doc", "th", "start", "end"])
+
+
+def settle_edges(met: DataFrame) -> DataFrame:
     """doc, th, start, end of what the windows through edge marks cover."""
-    def run(t: pa.Table) -> pa.Table:
-        g, doc, th, off, left = (t.column(c).to_numpy() for c in ("g", "doc", "th", "off", "left"))
-        order = np.lexsort((off, th, doc, g))
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = np.any([v[order][1:] != v[order][:-1] for v in (g, doc, th, off)], axis=0)
-        order = order[fresh]
-        g, doc, th, off, left = (v[order] for v in (g, doc, th, off, left.astype(np.int64)))
-        new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        column, out, i = t.column("context"), [], 0
-        while i < len(g):
-            # whole grams, about 8192 contexts at a time
-            k = int(np.searchsorted(new, i + 8192))
-            j = int(new[k]) if k < len(new) else len(g)
-            own = column.take(pa.array(order[i:j])).to_pylist()
-            at = np.concatenate([[0], np.cumsum([len(x) for x in own])])
-            near, far = covered_windows(np.frombuffer(b"".join(own), np.uint8), at, left[i:j], g[i:j])
-            hit = i + np.flatnonzero(far >= 0)
-            # all windows of a context hold its mark, so their union is one range
-            out.append((doc[hit], th[hit], (off[hit] - far[hit - i]).astype(np.int32), (off[hit] - near[hit - i] + LENGTH).astype(np.int32)))
-            i = j
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table([pa.array(c) for c in cols], names=["doc", "th", "start", "end"])
-
-    return contexts.groupBy("bucket").applyInArrow(run, "doc long, th int, start int, end int")
+    return met.groupBy("bucket").applyInArrow(settled_edges, "doc long, th int, start int, end int")
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:

@@ -6,6 +6,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,6 +426,48 @@ def test_suffix_sort_against_bytes(monkeypatch):
                 assert common[k] == (len(os.path.commonprefix([own[a], own[b]])) if group[a] == group[b] else -1)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_repeats_when_all_hashes_collide(hot):
+    """With polynomial hashes that are all equal, from the marks to the removed ranges: bytes alone decide."""
+    from tessera.llm import kernel as K
+
+    codes = K.CODES.copy()
+    K.CODES[:] = 0
+    try:
+        check_collisions(K, hot)
+    finally:
+        K.CODES[:] = codes
+
+
+def check_collisions(K, hot):
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 4, n))
+    passage = letters(170)
+    texts = [letters(60) + passage + letters(90), letters(130), passage[20:150] + letters(40), letters(30) + passage, "ab" * 70, letters(99)]
+    table = pa.table({"doc": pa.array(range(len(texts)), pa.int64()), "th": pa.array([0] * len(texts), pa.int32()), "text": texts})
+    grams = substrings.marks(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0])]), K.prefix(np.frombuffer(texts[0].encode(), np.uint8)))[4]
+    assert len(set(grams.tolist())) == 1
+    sent = pa.Table.from_batches(list(substrings.blocks(iter(table.to_batches()), 4, grams[:1] if hot else np.zeros(0, K.U))))
+    covers: dict[int, list] = {}
+    edges: dict[int, list] = {}
+    for b in sorted(set(sent.column("bucket").to_pylist())):
+        for r in substrings.settled(sent.filter(pa.compute.equal(sent.column("bucket"), b))).to_pylist():
+            if r["g"] is None:
+                covers.setdefault(r["doc"], []).append((r["start"], r["end"]))
+            else:
+                edges.setdefault(r["doc"], []).append({"g": r["g"], "off": r["start"]})
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("off", pa.int32())]))
+    rows = [pa.record_batch({"doc": pa.array([d], pa.int64()), "th": pa.array([0], pa.int32()), "text": [texts[d]], "e": pa.array([e], kind)}) for d, e in edges.items()]
+    if rows:
+        met = pa.Table.from_batches(list(substrings.contexts(iter(rows), 4)))
+        for b in sorted(set(met.column("bucket").to_pylist())):
+            for r in substrings.settled_edges(met.filter(pa.compute.equal(met.column("bucket"), b))).to_pylist():
+                covers.setdefault(r["doc"], []).append((r["start"], r["end"]))
+    for d, (_, removed, spans, _) in brute.repeats(list(enumerate(texts))).items():
+        ranges = substrings.merged(np.array(covers[d])) if d in covers else np.zeros((0, 2), int)
+        assert (int((ranges[:, 1] - ranges[:, 0]).sum()), len(ranges)) == (removed, spans), d
+
+
 # personal data
 
 
