@@ -17,6 +17,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kernel as K
-from .common import ship
+from .common import ship, stage
 
 K1, B = 1.2, 0.75
 #: Of an item's own score; of the shingles of its question and of its answer.
@@ -88,8 +89,24 @@ class Index:
     flat: tuple[np.ndarray, np.ndarray, np.ndarray] = field(default=None)  # starts, items, weights of all postings
 
 
-def build(rows: list[tuple]) -> Index | None:
-    """rows: (item_id, question, answer or None). Without an answer, all of the item is the question."""
+@dataclass
+class Statistics:
+    """Of all items: how many have words, their mean length, and in how many each term is."""
+
+    n: int
+    mean: float
+    df: dict[int, int]
+
+
+def words_of(question: str | None, answer: str | None) -> np.ndarray:
+    return np.concatenate([terms(question or ""), terms(answer or "")])
+
+
+def build(rows: list[tuple], of: Statistics | None = None) -> Index | None:
+    """rows: (item_id, question, answer or None). Without an answer, all of the item is the question.
+
+    of: of all items, if rows are only some of them; scores are the same in either case.
+    """
     ids, words, parts, shingles = [], [], [], []
     for item, question, answer in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         q, a = terms(question or ""), terms(answer or "")
@@ -102,14 +119,14 @@ def build(rows: list[tuple]) -> Index | None:
         shingles.append((shingle_hashes(q), shingle_hashes(a)))
     if not ids:
         return None
-    n, mean = len(ids), sum(map(len, words)) / len(ids)
     tf = [Counter(w.tolist()) for w in words]
-    df = Counter(t for c in tf for t in c)
+    of = of or Statistics(len(ids), sum(map(len, words)) / len(ids), Counter(t for c in tf for t in c))
+    mean, df = of.mean, of.df
     lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-    own = np.zeros(n)
+    own = np.zeros(len(ids))
     for i, c in enumerate(tf):
         norm = K1 * (1 - B + B * len(words[i]) / mean)
-        w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in c.items()}
+        w = {t: math.log(1 + (of.n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in c.items()}
         own[i] = sum(w.values())
         for t, x in w.items():
             lists[t].append((i, x / own[i]))
@@ -120,7 +137,7 @@ def build(rows: list[tuple]) -> Index | None:
         blocks = [(int(items[k : k + BLOCK][-1]), float(weights[k : k + BLOCK].max())) for k in range(0, len(items), BLOCK)]
         postings.append(Posting(items, weights, float(weights.max()), blocks))
     # the most frequent terms are left out of the opening as long as no item gets half the threshold from them
-    slack, essential = np.zeros(n), np.ones(len(postings), bool)
+    slack, essential = np.zeros(len(ids)), np.ones(len(postings), bool)
     for t in sorted(range(len(postings)), key=lambda t: (-len(postings[t].items), t)):
         p = postings[t]
         if (slack[p.items] + p.weights).max() > SCORE / 2:
@@ -274,56 +291,94 @@ def overlap(part: np.ndarray, shingles: np.ndarray, near: np.ndarray, have: np.n
     return share, share >= OVERLAP
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The items in indexes of at most INDEX_BYTES of text each, dealt by a hash of the id."""
+def statistics(rows: DataFrame) -> tuple[int, float, DataFrame]:
+    """Of all items (q, a), distributed: how many have words, their mean length, and the table (t, df) of terms."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for q, a in zip(x.column("q").to_pylist(), x.column("a").to_pylist(), strict=True):
+                w = words_of(q, a)
+                t = np.unique(w).view(np.int64)
+                # each item's first row also carries its length
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array([len(w)] * (len(t) > 0) + [0] * (len(t) - 1), pa.int64())], ["t", "length"])
+
+    found = rows.select("q", "a").mapInArrow(run, "t long, length long")
+    n, total = found.filter("length > 0").agg(F.count(F.lit(1)), F.sum("length")).first()
+    return n, (total or 0) / max(n, 1), found.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+
+
+def indexes(benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """The items in indexes of about index_bytes of text each, dealt by a hash of the id, one after the other."""
     question = "question" if "question" in benchmark.columns else "text"
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     rows = benchmark.select("item_id", F.col(question).alias("q"), answer.alias("a"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("q"), F.lit(0)) + F.coalesce(F.octet_length("a"), F.lit(0)))).first()[0] or 0
-    n = max(1, math.ceil(1.5 * total / INDEX_BYTES))
-    out = []
+    n = max(1, math.ceil(1.5 * total / index_bytes))
+    if n == 1:
+        own = build([tuple(r) for r in rows.distinct().collect()])
+        yield from [own] if own else []
+        return
+    rows = stage(rows.distinct(), "decontam-items")
+    count, mean, df = statistics(rows)
+    df = stage(df, "decontam-terms")
     for k in range(n):
-        own = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else rows
-        index = build([tuple(r) for r in own.distinct().collect()])
+        own = [tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
+        have = np.unique(np.concatenate([words_of(q, a) for _, q, a in own] or [np.zeros(0, K.U)])).view(np.int64)
+        terms_ = rows.sparkSession.createDataFrame(pd.DataFrame({"t": have}), "t long")
+        index = build(own, Statistics(count, mean, {r[0] % 2**64: r[1] for r in df.join(terms_, "t").collect()}))
         if index:
-            out.append(index)
-    return out
+            yield index
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
     Documents without a hit have no row. Null texts and items without words hit nothing;
     repeated items count once, repeated documents have rows each. Other columns are ignored.
+    Every index is broadcast, as it holds about index_bytes of items; if there are several, each
+    reads the documents in a pass of its own, with the statistics of all items.
     """
     ship(docs.sparkSession)
-    own = indexes(benchmark)
     fields = [docs.schema["doc_id"], benchmark.schema["item_id"], *[StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap")]]
     names = [f.name for f in fields]
     item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            hits = [(r, index.ids[i], *rest) for index in own for r, i, *rest in search(index, x.column("text"))]
-            cols = list(zip(*hits, strict=True)) or [()] * 5
-            ids = x.column("doc_id").take(pa.array(cols[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], item_type), *[pa.array(c, pa.float64()) for c in cols[2:]]], names)
+    def hits_in(index: Index) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for x in batches:
+                hits = [(r, own.ids[i], *rest) for r, i, *rest in search(own, x.column("text"))]
+                cols = list(zip(*hits, strict=True)) or [()] * 5
+                ids = x.column("doc_id").take(pa.array(cols[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(cols[1], item_type), *[pa.array(c, pa.float64()) for c in cols[2:]]], names)
+
+        return docs.select("doc_id", "text").mapInArrow(run, StructType(fields))
 
-    return docs.select("doc_id", "text").mapInArrow(run, StructType(fields))
+    out = [hits_in(index) for index in indexes(benchmark, index_bytes)]
+    return reduce(DataFrame.unionAll, out) if out else docs.sparkSession.createDataFrame([], StructType(fields))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a hit, same columns; only the text crosses to Python."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """The documents without a hit, same columns; only the text crosses to Python.
+
+    Null and empty texts have no hit and stay, as do documents of null id without one; repeated rows go or stay
+    together. An empty table stays empty, and without items all documents stay.
+    """
     ship(docs.sparkSession)
-    own = indexes(benchmark)
-
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
-        out = np.ones(len(text), bool)
-        column = pa.array(text, pa.large_string(), from_pandas=True)
-        for index in own:
-            for row, *_ in search(index, column):
+
+    def clean_of(index: Index):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.pandas_udf("boolean")
+        def clean(text: pd.Series) -> pd.Series:
+            out = np.ones(len(text), bool)
+            for row, *_ in search(shared.value, pa.array(text, pa.large_string(), from_pandas=True)):
                 out[row] = False
-        return pd.Series(out)
+            return pd.Series(out)
+
+        return clean("text")
 
-    return docs.filter(clean("text"))
+    for index in indexes(benchmark, index_bytes):
+        docs = docs.filter(clean_of(index))
+    return docs

@@ -25,8 +25,10 @@ from .common import hash_limit, ship
 DIM = 1 << 12
 #: Labelled documents of each language that training uses at most, chosen by a hash of the id.
 PER_LANGUAGE = 1000
-#: Languages that training considers at most: the most frequent.
-LANGUAGES = 200
+#: Documents that training uses at most in all; with very many languages each has fewer, but MIN_LANGUAGE at least.
+SAMPLE, MIN_LANGUAGE = 200_000, 20
+#: Other languages of the family or corpus whose documents a decision is fitted on, for each of its own.
+AGAINST = 4
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af fy lb yi",
     "romance": "fr es it pt ro ca gl oc rm la",
@@ -85,34 +87,49 @@ class Model:
     scale: float
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 12) -> np.ndarray:
-    """A linear L2-loss support vector machine by dual coordinate descent; rows of x have unit length."""
+@dataclass
+class Rows:
+    """Sparse rows of unit length: row i has values val[cut[i]:cut[i + 1]] in columns col[...]."""
+
+    col: np.ndarray
+    val: np.ndarray
+    cut: np.ndarray
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.append(w[self.col] * self.val, 0.0), self.cut[:-1]) * (np.diff(self.cut) > 0)
+
+
+def svm(x: Rows, use: np.ndarray, y: np.ndarray, cost: float = 4.0, epochs: int = 12) -> np.ndarray:
+    """A linear L2-loss support vector machine by dual coordinate descent over the rows in use."""
     rng = np.random.Generator(np.random.PCG64(7))
-    a, w = np.zeros(len(y)), np.zeros(x.shape[1], np.float32)
+    a, w = np.zeros(len(y)), np.zeros(2 * DIM, np.float32)
     share = {s: cost * len(y) / (2 * max(1, (y == s).sum())) for s in (1.0, -1.0)}
+    own = [(x.col[x.cut[i] : x.cut[i + 1]], x.val[x.cut[i] : x.cut[i + 1]]) for i in use.tolist()]
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
+            col, val = own[i]
             d = 0.5 / share[y[i]]
-            g = y[i] * float(w @ x[i]) - 1 + d * a[i]
+            g = y[i] * float(w[col] @ val) - 1 + d * a[i]
             new = max(a[i] - g / (1 + d), 0.0)
             if new != a[i]:
-                w += np.float32((new - a[i]) * y[i]) * x[i]
+                w[col] += np.float32((new - a[i]) * y[i]) * val
                 a[i] = new
     return w
 
 
-def sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, list[str]]:
-    """Unit feature vectors and languages of the bounded training sample."""
+def sample(docs: DataFrame, per_language: int) -> tuple[Rows, list[str]]:
+    """Unit feature vectors and languages of the bounded training sample; every language is in it."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    top = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    top = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not top:
-        return np.zeros((0, 2 * DIM), np.float32), []
+        return Rows(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(1, np.int64)), []
+    per_language = min(per_language, max(MIN_LANGUAGE, SAMPLE // len(top)))
     # the window sees a few times the sample of each language, by the hash that it sorts by, however frequent the language is
-    limits = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, hash_limit(4 * per_language / n))])
-    few = known.filter(F.col("lang").isin(list(top))).select("doc_id", "lang").filter(F.xxhash64("doc_id") <= F.element_at(limits, F.col("lang")))
+    limits = docs.sparkSession.createDataFrame([(x, hash_limit(4 * per_language / n)) for x, n in top.items()], "s_lang string, s_limit long")
+    few = known.select("doc_id", "lang").join(limits, F.col("lang") == F.col("s_lang")).filter(F.xxhash64("doc_id") <= F.col("s_limit"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = few.withColumn("rank", rank).filter(F.col("rank") <= per_language)
-    ids = docs.sparkSession.createDataFrame(ids.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang")).collect(), "s_id long, s_lang string")
+    ids = ids.select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -125,15 +142,17 @@ def sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, list[str]]:
                     out.append((at.astype(np.uint16).tobytes(), c.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays([x.column("s_lang"), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], ["lang", "at", "c"])
 
-    # the ids are at most per_language for each of LANGUAGES languages
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("s_id")).select("s_lang", "text")
+    # at most SAMPLE rows (or MIN_LANGUAGE a language) reach the driver, with 2 * DIM values each at most
+    chosen = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("s_id")).select("s_lang", "text")
     rows = chosen.mapInArrow(vectors, "lang string, at binary, c binary").collect()
     rows = sorted((r["lang"], bytes(r["at"]), bytes(r["c"])) for r in rows)
-    x = np.zeros((len(rows), 2 * DIM), np.float32)
-    for i, (_, at, c) in enumerate(rows):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(c, np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return x, [r[0] for r in rows]
+    col, val, cut = [], [], [0]
+    for _, at, c in rows:
+        v = np.frombuffer(c, np.float32)
+        col.append(np.frombuffer(at, np.uint16))
+        val.append(v / max(float(np.linalg.norm(v)), 1e-9))
+        cut.append(cut[-1] + len(v))
+    return Rows(np.concatenate(col).astype(np.int64), np.concatenate(val).astype(np.float32), np.array(cut)), [r[0] for r in rows]
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
@@ -148,17 +167,19 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     decides, rows, margins = [], [], []
     names = list(families)
     tasks: list[tuple[str | None, str, str, np.ndarray, np.ndarray]] = []
+    place = np.arange(len(lang)) * 2654435761 % 2**32 / 2**32
     if len(names) == 2:
         tasks.append((None, names[0], names[1], np.ones(len(lang), bool), fam == names[0]))
     elif len(names) > 2:
-        tasks += [(None, f, "", np.ones(len(lang), bool), fam == f) for f in names]
+        # against so many of the others, evenly chosen, that the work stays in proportion to the sample
+        tasks += [(None, f, "", (fam == f) | (place < AGAINST * max(per_language, (fam == f).sum()) / len(lang)), fam == f) for f in names]
     for f, own in families.items():
         tasks += [(f, a, b, (lang == a) | (lang == b), lang == a) for a, b in combinations(own, 2)]
     for f, a, b, use, positive in tasks:
-        w = svm(x[use], np.where(positive[use], 1.0, -1.0))
+        w = svm(x, np.flatnonzero(use), np.where(positive[use], 1.0, -1.0))
         decides.append((f, a, b))
         rows.append(w)
-        margins.append(np.abs(x[use] @ w))
+        margins.append(np.abs(x.dot(w)[use]))
     weights = np.array(rows, np.float32).reshape(len(rows), 2 * DIM)
     typical = float(np.median(np.concatenate(margins))) if margins else 1.0
     return Model(weights, decides, families, 4.0 / max(typical, 1e-6))

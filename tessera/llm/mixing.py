@@ -82,10 +82,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) ->
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it; same columns."""
+    """The documents themselves, each as many times as the mix takes it; same columns.
+
+    Null texts, texts without words and documents of a source whose target is 0 have no words to take: they come
+    `whole` times like the rest of their source. A null source is one of its own; rows of one id go together; an
+    empty table stays empty.
+    """
     slim = stage(docs.select("source", n_words(F.col("text")).alias("size"), doc_hash(F.col("doc_id")).alias("h")), "mix-docs")
-    plan = stage(thresholds(slim, weights, cap).select(F.col("source").alias("__source"), "whole", "below"), "mix-plan")
-    copies = F.col("whole") + (doc_hash(F.col("doc_id")) < F.col("below")).cast("long")
+    plan = stage(thresholds(slim, weights, cap).select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("below").alias("__below")), "mix-plan")
+    copies = F.col("__whole") + (doc_hash(docs["doc_id"]) < F.col("__below")).cast("long")
     times = docs.join(plan, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__copies", copies).filter("__copies > 0")
     return times.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -217,6 +217,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents less all but one of each group; same columns."""
+    """The documents less all but one of each group; same columns.
+
+    The one of the smallest id stays, with all rows of that id. Rows without an id, documents without words and null
+    texts stay. An empty table stays empty.
+    """
     gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -25,6 +25,8 @@ from .common import ship, stage, utf8_bytes
 LOW, HIGH = -(2**63), 2**63
 #: Probes of a round, so also the counts that reach the driver in a round.
 PROBES = 1 << 14
+#: A group of equal texts stays whole if it has at most this share of a part's bytes.
+GROUP = 0.02
 
 
 @dataclass
@@ -82,7 +84,9 @@ def find_cuts(slim: DataFrame, parts: int, tolerance: float) -> tuple[list[Cut],
             k = int(np.searchsorted(cum_b, goals[j], "right")) - 1
             k = min(max(k, 0), len(edges) - 2)
             near = k if goals[j] - cum_b[k] <= cum_b[k + 1] - goals[j] else k + 1
-            if last or abs(cum_b[near] - goals[j]) <= allowed:
+            # a pair has an edge as near as a document of its size would have
+            whole_group = width == 32 and (cum_b[k + 1] - cum_b[k] <= GROUP * total / parts or cum_r[k + 1] - cum_r[k] <= 2)
+            if last or whole_group or abs(cum_b[near] - goals[j]) <= allowed:
                 cuts[j] = Cut(edges[near], cum_b[near], cum_r[near])
             else:
                 left.setdefault(k, []).append(j)
@@ -94,7 +98,7 @@ def find_cuts(slim: DataFrame, parts: int, tolerance: float) -> tuple[list[Cut],
     open_ = [(edges[k], edges[k + 1], cum_b[k], cum_r[k], js) for k, js in settle(edges, cum_b, cum_r, list(range(parts - 1)), width == 0).items()]
     while open_ and width > 0:
         bits = min(width, 10, max(1, int(math.log2(max(PROBES, 8 * len(open_)) / len(open_)))))
-        # stop at the border between text and id once, so that groups stay whole where that suffices
+        # stop at the border between text and id once: there the splitters of small groups settle
         bits = min(bits, width - 32) if width > 32 else bits
         width -= bits
         open_.sort()
@@ -146,8 +150,9 @@ def place(df: DataFrame, cuts: list[Cut], parts: DataFrame) -> DataFrame:
 def shards(docs: DataFrame, n: int = 24, tolerance: float = 0.005, part_bytes: int = 256 << 20) -> DataFrame:
     """Per document: doc_id, size (UTF-8 bytes + 8), text_crc32, law `bytes`, shard, slot, grown_shard (null).
 
-    Null text counts as empty. Equal texts are neighbours and share a shard unless a
-    splitter would then miss its tolerance. Rows equal in id and text are interchangeable
+    Null text counts as empty. Equal texts are neighbours and share a shard unless they are
+    more than two, have more than GROUP of a part's bytes and a splitter's goal lies among them. So the shards' sizes
+    differ from their mean by the tolerance, a document, or a group of that share at most. Rows equal in id and text are interchangeable
     neighbours. An empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
@@ -159,7 +164,10 @@ def shards(docs: DataFrame, n: int = 24, tolerance: float = 0.005, part_bytes: i
 
 
 def apply_shards(docs: DataFrame, n: int = 24, tolerance: float = 0.005, part_bytes: int = 256 << 20) -> DataFrame:
-    """The documents with shard and slot (columns so named are replaced), exchanged once by part."""
+    """The documents with shard and slot (columns so named are replaced), exchanged once by part.
+
+    Null texts count as empty, null ids as equal ones; repeated rows get a slot each; an empty table stays empty.
+    """
     ship(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("shard", "slot")]
     key = shard_key(F.col("text"), F.col("doc_id"))

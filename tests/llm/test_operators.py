@@ -85,6 +85,14 @@ def test_sharding_splits_a_hot_group_and_keeps_small_ones(make):
     assert sum(n > 1 for n in split.values()) <= 24
 
 
+def test_sharding_keeps_pairs_together(make):
+    docs = make(*[(i, f"text {i // 2} " + "word " * (i // 2 % 90)) for i in range(600)])
+    got = sharding.shards(docs).collect()
+    sizes = check_shards(got)
+    assert all(len({r["shard"] for r in got if r["text_crc32"] == c}) == 1 for c in {r["text_crc32"] for r in got})
+    assert max(sizes.values()) - sum(sizes.values()) / 24 <= 2 * max(r["size"] for r in got)
+
+
 def test_sharding_small_parts_have_gapless_slots(documents):
     df, _ = documents
     check_shards(sharding.shards(df, part_bytes=5_000).collect())
@@ -154,6 +162,20 @@ def test_language_odd_tables(odd, empty, make):
     assert langid.identify(make((1, "123 456", None), (2, "abc", None))).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_rare_languages_are_learned(make):
+    """More languages than any number that a corpus has at once, one of them of a few documents."""
+    rng = np.random.default_rng(4)
+    rows_ = []
+    for k in range(230):
+        own = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(12)]
+        rows_ += [(len(rows_) + j, " ".join(rng.choice(own, 20)), f"x{k}") for j in range(4 if k == 229 else 6)]
+    got = langid.identify(make(*rows_)).collect()
+    lang = {r[0]: r[2] for r in rows_}
+    learned = {lang[r["doc_id"]] for r in got if not r["held_out"]}
+    tested = [r for r in got if lang[r["doc_id"]] in learned]
+    assert "x229" in learned and np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in tested]) > 0.9
+
+
 def test_language_many_families(make):
     words = {"en": "the and of", "de": "der und von", "fr": "le et des", "ru": "и в не", "xx": "zzq qqz zqz"}
     docs = make(*[(i, f"{words[k]} " * (1 + i % 3), k) for i, k in enumerate(sorted(words) * 20)])
@@ -394,6 +416,16 @@ def test_near_verbatim_items_are_found(spark, make):
         assert rows(decontam.contaminated(docs, items), "doc_id", "item_id") == sorted([(i, 1) for i in range(len(forms))], key=repr)
 
 
+def test_several_indexes_are_as_one(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    sort = lambda df: sorted((tuple(round(x, 9) for x in r) for r in df.collect()), key=repr)
+    one = sort(decontam.contaminated(docs, items))
+    size = items.selectExpr("sum(octet_length(text))").first()[0]
+    assert one and len(list(decontam.indexes(items, size))) == 2 and sort(decontam.contaminated(docs, items, size)) == one
+    kept = {r[0] for r in decontam.drop_contaminated(docs, items, size).select("doc_id").collect()}
+    assert kept == {r[0] for r in docs.select("doc_id").collect()} - {r[0] for r in one}
+
+
 def test_decontamination_odd_tables(odd, empty, spark):
     items = spark.createDataFrame([(1, "the same words in the same order, again and again"), (1, "the same words in the same order, again and again"), (2, None), (3, ""), (None, "word3 filler3")], "item_id long, text string")
     got = rows(decontam.contaminated(odd, items), "doc_id", "item_id")
