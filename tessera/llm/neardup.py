@@ -11,11 +11,12 @@ the number they must share), so only these are listed. The sketch of the union
 estimates each pair that meets; the full sets decide.
 
 A list's members are not paired with each other. One pivot is compared with all, and
-what is then in one component needs nothing more. A list of which more than a few
-members stay outside its largest component is split by the next value that its members
-share, which is among the first `k - least + 2`, and so on; so values that very many
-documents have (a common line) cost about the rows of their lists. Such deeper lists
-get four times the pivots each round, until no list has members of two components.
+what is then in one component needs nothing more; in further rounds of PIVOTS, a few
+pivots from outside the largest component are. A list of which many members stay
+outside after that (documents with a common passage and little else in common) is split
+by the next value that its members share, which is among the first `k - least + 2`, and
+the rounds begin again; so values that very many documents have cost about the rows of
+their lists. This ends when no list has members of two components.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ SKETCH = 64
 SHARE = 0.5
 #: Values that the key of a list has at most.
 DEPTH = 6
-#: Members outside the largest component of a list that are compared with all of it at once, first and later.
-REST = (2, 8)
+#: Pivots of a list in the rounds before it is split. No more members than twice that outside the largest component are all pivots.
+PIVOTS = (1, 8, 64)
 #: Comparisons for each row that the lists had at first that are made at once when no more are left.
-AT_ONCE = 2
+AT_ONCE = 8
 #: Rows of a list that one task of a join gets.
 CHUNK = 128
 
@@ -162,8 +163,9 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     lists = stage(listed(own), "neardup-lists")
     spark, listed_rows = docs.sparkSession, lists.count()
     edges = spark.createDataFrame([], "a long, b long")
-    depth, pivots, rest = 1, 1, REST[0]
+    depth, turn, more_pivots = 1, 0, 1
     while True:
+        pivots = more_pivots * PIVOTS[turn]
         comp = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
         now = lists.join(comp, F.col("id") == F.col("node"), "left").select("key", "df", "id", "n", "at", F.coalesce("component", "id").alias("c"))
         by = now.groupBy("key", "df", "c").agg(F.count(F.lit(1)).alias("k"))
@@ -174,7 +176,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             return components(edges)
         # all that is left at once, if that is work in proportion to the rows that the lists had at first
         last = work <= AT_ONCE * listed_rows
-        few = F.lit(True) if last else F.col("outside") <= rest
+        few = F.lit(True) if last else F.col("outside") <= 2 * pivots
         out = now.filter("c <> main")
         # by a hash of the id, so that the same document is the pivot of most of the lists that it is in
         rank = F.struct(F.xxhash64("id").alias("h"), "id", "n", "c")
@@ -192,10 +194,13 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         edges = shortened(edges, 2)
         # what has met all of a list leaves it; a list of which all outsiders have is done
         left = now.filter(~few).join(some.select("key", "id"), ["key", "id"], "left_anti").select("key", "df", "id", "n", "at")
-        rest, pivots, lists = REST[1], 4 * pivots, left
-        if depth < DEPTH:
+        lists, turn = left, (turn + 1) % len(PIVOTS)
+        if turn == 0 and depth < DEPTH:
             depth += 1
             lists = stage(split(left, own, depth), "neardup-lists")
+        elif turn == 0:
+            # nothing more to split by: members that share so much are compared after all, more in each round
+            more_pivots *= 512
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
