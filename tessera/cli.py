@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-import tempfile
 
 from tessera import sinks
 from tessera.errors import QueryError
@@ -16,9 +15,10 @@ LINES = {"csv": sinks.csv_lines, "json": sinks.json_lines, "stream_native": sink
 
 def follow(engine: Engine, text: str, kind: str, checkpoint: str | None, once: bool) -> None:
     """A query over tables that grow, printed as it goes until it is interrupted (or, once, until the end of what is there)."""
+    from tessera.sources.shared import new_path
     from tessera.streaming import runner
 
-    checkpoint = checkpoint or tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    checkpoint = checkpoint or new_path(engine.spark, "checkpoint")
     if kind in ("live_table", "batch_table"):
         query = runner.live_table(engine, text, sys.stdout, checkpoint, once)
     else:

@@ -232,9 +232,10 @@ def fits(param: str, t: Type, bound: dict[str, Type]) -> bool:
     return param == t.kind
 
 
-def call(name: str, args: list[Expr], compat: bool = False) -> Expr:
-    """Resolves an overload; a union goes to each alternative, and those without one fail when met."""
-    f = FUNCTIONS.get(name)
+def call(name: str, args: list[Expr], compat: bool = False, own: dict[str, Function] | None = None) -> Expr:
+    """Resolves an overload; a union goes to each alternative, and those without one fail when met. own: functions
+    that come before the built-in ones."""
+    f = (own or {}).get(name) or FUNCTIONS.get(name)
     if f is None:
         raise QueryError(f"unknown function: {name}({', '.join(str(a.type) for a in args)})")
     if name in ("=", "!=", "<=>") and len(args) == 2:
@@ -257,19 +258,19 @@ def call(name: str, args: list[Expr], compat: bool = False) -> Expr:
         return Expr(F.raise_error(F.concat(F.lit("panic: "), display(args[0]))), NULL)
     for k, a in enumerate(args):
         if a.type.kind == "Union" and not f.whole:
-            return per_alternative(name, args, k, compat)
+            return per_alternative(name, args, k, compat, own)
     tries = [args]
     if not compat and any(a.type.kind == "Int" for a in args):
         tries.append([Expr(a.col.cast("double"), Type("Float", a.type.nullable)) if a.type.kind == "Int" else a for a in args])
-    for own in tries:
+    for given in tries:
         found = None
         for o in f.overloads:
             bound: dict[str, Type] = {}
-            if len(o.args) == len(own) and all(fits(p, a.type, bound) for p, a in zip(o.args, own, strict=True)):
+            if len(o.args) == len(given) and all(fits(p, a.type, bound) for p, a in zip(o.args, given, strict=True)):
                 found = o
                 break
         if found:
-            return build(name, f, found, own)
+            return build(name, f, found, given)
     raise QueryError(f"unknown function: {name}({', '.join(str(a.type) for a in args)})")
 
 
@@ -297,12 +298,12 @@ def build(name: str, f: Function, o: Overload, args: list[Expr]) -> Expr:
     return Expr(o.build(*[a.col for a in args]), result)
 
 
-def per_alternative(name: str, args: list[Expr], k: int, compat: bool) -> Expr:
+def per_alternative(name: str, args: list[Expr], k: int, compat: bool, own: dict[str, Function] | None) -> Expr:
     a = args[k]
     found: list[tuple[Type, Expr]] = []
     for t in alternatives(a.type):
         try:
-            found.append((t, call(name, [*args[:k], Expr(a.col[t.kind], t), *args[k + 1 :]], compat)))
+            found.append((t, call(name, [*args[:k], Expr(a.col[t.kind], t), *args[k + 1 :]], compat, own)))
         except QueryError:
             continue
     if not found:

@@ -43,9 +43,15 @@ def conjuncts(e: object) -> list:
     return [*conjuncts(e.left), *conjuncts(e.right)] if isinstance(e, A.Logic) and e.op == "and" else [e]
 
 
+#: Numbers that a range beside a record explodes at a time.
+BLOCK = 1 << 16
+
+
 def micros_of(e: object) -> int:
     """A constant interval in microseconds."""
     if isinstance(e, A.Interval):
+        if e.unit == "ns" and e.amount % 1000:
+            raise QueryError("an INTERVAL must be whole microseconds")
         return e.amount // 1000 if e.unit == "ns" else e.amount * UNIT_US[e.unit]
     if isinstance(e, A.Call) and e.name in ("+", "-"):
         parts = [micros_of(a) for a in e.args]
@@ -395,8 +401,11 @@ class Analyzer:
         if {lo.type.kind, hi.type.kind} != {"Int"}:
             raise QueryError("range needs Int bounds")
         c = Col(j.right.alias, "i", fresh("i"), INT)
-        numbers = F.when(hi.col > lo.col, F.sequence(lo.col, hi.col - 1))
-        out = Relation(left.df.withColumn(c.internal, F.explode(numbers)), [*left.cols, c], left.time, left.seq, None, left.window)
+        # in blocks, so that no array holds more than BLOCK numbers or starts of blocks are few
+        block = fresh("block")
+        df = left.df.withColumn(block, F.explode(F.when(hi.col > lo.col, F.sequence(lo.col, hi.col - 1, F.lit(BLOCK)))))
+        df = df.withColumn(c.internal, F.explode(F.sequence(F.col(block), F.least(F.col(block) + (BLOCK - 1), hi.col - 1)))).drop(block)
+        out = Relation(df, [*left.cols, c], left.time, left.seq, None, left.window)
         return dataclasses.replace(out, df=out.df.filter(self.truth(j.on, Scope(out, scope.outer, scope.ctes)).col)) if j.on is not None else out
 
     def key(self, a: Expr, b: Expr) -> Column:
@@ -503,8 +512,11 @@ class Analyzer:
         lo, hi = (self.expr(b, Scope(None, None, scope.ctes)) for b in bounds)
         if {lo.type.kind, hi.type.kind} != {"Int"}:
             raise QueryError("range needs Int bounds")
-        numbers = F.when(hi.col > lo.col, F.sequence(lo.col, hi.col - 1))
-        return Relation(self.spark.range(1).select(F.explode(numbers).alias(c.internal)), [c])
+        # without columns the bounds are constants: one row tells them, and Spark deals the numbers to tasks
+        lo, hi = self.spark.range(1).select(lo.col, hi.col).first()
+        if lo is None or hi is None:
+            lo = hi = 0
+        return Relation(self.spark.range(lo, max(lo, hi)).select(F.col("id").alias(c.internal)), [c])
 
     # expressions
 
@@ -584,7 +596,7 @@ class Analyzer:
                 raise QueryError("unnest is allowed as a selected expression only")
             if e.name == "coalesce" and not e.args:
                 raise QueryError("coalesce needs an argument")
-            return call(e.name, [sub(a) for a in e.args], self.compat)
+            return call(e.name, [sub(a) for a in e.args], self.compat, self.catalog.functions)
         raise QueryError(f"unsupported expression {e}")
 
     def case(self, e: A.Case, sub: Callable[[object], Expr]) -> Expr:

@@ -49,9 +49,11 @@ class Engine:
         self.spark, self.compat = spark, compat
         self.catalog = Catalog(spark, databases or {}, folder=folder)
 
-    def register(self, name: str, frame: DataFrame) -> None:
-        """A table by name."""
+    def register(self, name: str, frame: DataFrame, time: str | None = None, seq: str | None = None) -> None:
+        """A table by name; time: its time field, seq: the column that gives the order of arrival. A streaming frame that
+        has a watermark keeps it."""
         self.catalog.frames[name] = frame
+        self.catalog.fields[name] = (time, seq)
 
     def register_reader(self, extension: str, reader: Callable[[SparkSession, str, dict[str, str]], DataFrame]) -> None:
         """What reads files of an extension, or the tables of databases of this type."""
@@ -63,9 +65,12 @@ class Engine:
         self.catalog.readers[source.name()] = lambda spark, table, options: spark.read.format(source.name()).options(**options).option("table", table).load()
 
     def register_function(self, name: str, arguments: str, result: Type, build: Callable[..., Column], description: str = "") -> None:
-        """One more overload of a scalar function: arguments are kinds such as `String Int`, build makes a Column of theirs."""
-        f = FUNCTIONS.setdefault(name.lower(), Function(description))
-        f.overloads.append(Overload(tuple(arguments.split()), result, build))
+        """One more overload of a scalar function, for this engine: arguments are kinds such as `String Int`, build makes a
+        Column of theirs. It comes before older ones, so of equal arguments the last registered wins."""
+        name = name.lower()
+        old = self.catalog.functions.get(name) or FUNCTIONS.get(name) or Function(description)
+        new = Overload(tuple(arguments.split()), result, build)
+        self.catalog.functions[name] = Function(description or old.description, [new, *old.overloads], old.whole)
 
     def query(self, text: str) -> Query:
         return Query(self, text)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,9 +13,11 @@ from pyspark.sql import types as S
 
 from tessera.errors import QueryError
 from tessera.functions.aggregates import AGGREGATES
-from tessera.functions.scalar import FUNCTIONS
+from tessera.functions.scalar import FUNCTIONS, Function
 from tessera.plans.scope import Relation, from_frame
 from tessera.sources.infer import SAMPLE, csv_types, has_union, json_types
+from tessera.sources.shared import spool
+from tessera.sources.tail import GrowingFile
 from tessera.types import KINDS, NULL, TAG, Type, required, to_spark, type_sum
 
 FORMATS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "json", "parquet": "parquet", "lines": "lines", "txt": "lines"}
@@ -64,7 +65,11 @@ class Catalog:
     databases: dict[str, dict[str, str]] = field(default_factory=dict)
     readers: dict[str, Callable[[SparkSession, str, dict[str, str]], DataFrame]] = field(default_factory=dict)
     frames: dict[str, DataFrame] = field(default_factory=dict)
+    #: Of registered frames: the time field and the column of arrival.
+    fields: dict[str, tuple[str | None, str | None]] = field(default_factory=dict)
     folder: str | None = None
+    #: Functions that this engine has registered, beside or instead of the built-in ones.
+    functions: dict[str, Function] = field(default_factory=dict)
     stdin: object = None
     spooled: str | None = None
 
@@ -72,6 +77,8 @@ class Catalog:
         alias = alias or alias_of(name)
         seq, time = options.get("seq"), options.get("time")
         if name in self.frames:
+            own = self.fields.get(name, (None, None))
+            seq, time = seq or own[1], time or own[0]
             return from_frame(self.frames[name], alias, seq=seq, time=time)
         if name == "dual":
             return from_frame(self.spark.range(1).select(F.lit("X").alias("dummy")), alias)
@@ -104,15 +111,19 @@ class Catalog:
         return os.path.expanduser(path) if path.startswith("~") else path
 
     def from_stdin(self) -> str:
-        """Standard input, once, as a file that Spark can read."""
+        """Standard input, once, as a file in the folder that all executors share."""
         if self.spooled is None:
-            source = self.stdin or sys.stdin.buffer
-            with tempfile.NamedTemporaryFile("wb", prefix="tessera-stdin-", delete=False) as f:
-                while chunk := source.read(1 << 20):
-                    f.write(chunk)
-            self.spooled = f.name
+            self.spooled = spool(self.spark, self.stdin or sys.stdin.buffer, "stdin")
         return self.spooled
 
+    def growing(self, path: str, tail: bool) -> DataFrame | None:
+        """number and value of the lines of a single growing file that can be opened; None for all else."""
+        own = path.removeprefix("file://")
+        if not tail or not os.path.isfile(own):
+            return None
+        self.spark.dataSource.register(GrowingFile)
+        return self.spark.readStream.format(GrowingFile.name()).option("path", own).load()
+
     def scan(self, reader: Callable, path: str, tail: bool) -> DataFrame:
         """reader makes a frame of a reader of files or of a stream of files; a stream watches the file's folder."""
         if not tail:
@@ -132,6 +143,11 @@ class Catalog:
         # a value that does not fit its column fails the query, unless it is to be NULL
         mode = {"fail": "FAILFAST", "null": "PERMISSIVE"}[options.get("misfit", "fail")]
         schema = S.StructType([S.StructField(n, to_spark(types[n])) for n in names])
+        lines = self.growing(path, tail)
+        if lines is not None:
+            # a line is a record here
+            row = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": sep, "quote": '"', "escape": '"', "nullValue": "", "mode": mode})
+            return lines.filter(f"number > 0 OR {str(not header).lower()}").select(row.alias("r")).select("r.*"), {n: Type(t.kind, True) for n, t in types.items()}
         df = self.scan(lambda r: r.format("csv").schema(schema).options(**settings, mode=mode, nullValue="", enforceSchema="true"), path, tail)
         return df, {n: Type(t.kind, True) for n, t in types.items()}
 
@@ -139,11 +155,15 @@ class Catalog:
         types = json_types(r[0] for r in self.spark.read.text(path).limit(SAMPLE).collect())
         types = {n: Type("String", True) if t.kind == "Null" else t for n, t in types.items()}
         if any(has_union(t) for t in types.values()):
-            text = self.scan(lambda r: r.format("text"), path, tail).filter(F.trim("value") != "")
+            lines = self.growing(path, tail)
+            text = (self.scan(lambda r: r.format("text"), path, tail) if lines is None else lines).filter(F.trim("value") != "")
             row = text.select(F.parse_json("value").alias("v"))
             cols = [variant_value(F.try_variant_get("v", f"$['{n}']", "variant"), t).alias(n) for n, t in types.items()]
             return row.select(*cols), {n: type_sum(t, NULL) if t.nullable else t for n, t in types.items()}
         schema = S.StructType([S.StructField(n, to_spark(t)) for n, t in types.items()])
+        lines = self.growing(path, tail)
+        if lines is not None:
+            return lines.filter(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"), types
         df = self.scan(lambda r: r.format("json").schema(schema).option("mode", "FAILFAST"), path, tail)
         return df, types
 
@@ -156,6 +176,9 @@ class Catalog:
     def lines(self, path: str, options: dict[str, str], tail: bool) -> tuple[DataFrame, dict[str, Type]]:
         """number (from 0) and text; the number of a line is its place in its partition and the lines before that."""
         sep = options.get("sep", "\n").encode().decode("unicode_escape")
+        lines = self.growing(path, tail) if sep == "\n" else None
+        if lines is not None:
+            return lines.select("number", F.col("value").alias("text")), {"number": Type("Int"), "text": Type("String")}
         text = self.scan(lambda r: r.format("text").option("lineSep", sep), path, tail)
         if tail:
             return text.select(F.lit(None).cast("bigint").alias("number"), F.col("value").alias("text")), {}
@@ -176,9 +199,9 @@ class Catalog:
             if table == "repositories":
                 return make([("core", "built in")], "slug string, description string")
         elif table == "functions":
-            return make([(n, f.description) for n, f in FUNCTIONS.items() if f.description], "name string, description string")
+            return make([(n, f.description) for n, f in (FUNCTIONS | self.functions).items() if f.description], "name string, description string")
         elif table == "function_signatures":
-            rows = [(n, list(o.args), "" if callable(o.result) else str(o.result), not f.whole) for n, f in FUNCTIONS.items() for o in f.overloads]
+            rows = [(n, list(o.args), "" if callable(o.result) else str(o.result), not f.whole) for n, f in (FUNCTIONS | self.functions).items() for o in f.overloads]
             return make(rows, "name string, argument_types array<string>, output_type string, strict boolean")
         elif table == "aggregates":
             return make([(n, a.description) for n, a in AGGREGATES.items()], "name string, description string")
