@@ -2,13 +2,13 @@
 
 One hash function serves all: a document's sketch is its k smallest shingle hashes,
 the retained values. Equal sets are one class from the start, so copies never meet
-pairwise. Linked documents share at least SHARE of their retained values (but for a
-binomial tail of 3e-9 at a Jaccard of 0.8 and of 2e-12 at 0.85); a class that shares
-less with all others together has no link. The rest, the candidates, meet in inverted
-lists of retained values: with each sketch in one order, from the rarest value on, the
-first value that two have in common is among the first `k - least + 1` of both (least:
-the number they must share), so only these are listed. The sketch of the union
-estimates each pair that meets; the full sets decide.
+pairwise. Linked documents share a certain part of their retained values, but for a
+binomial tail of at most LOST; a class that shares less with all others together has no
+link, nor has one that has too many values of its full set to itself. The rest, the
+candidates, meet in inverted lists of retained values: with each sketch in one order,
+from the rarest value on, the first value that two have in common is among the first
+`k - least + 1` of both (least: the number they must share), so only these are listed.
+The sketch of the union estimates each pair that meets; the full sets decide.
 
 A list's members are not paired with each other. One pivot is compared with all, and
 what is then in one component needs nothing more; in further rounds of PIVOTS, a few
@@ -21,6 +21,7 @@ their lists. This ends when no list has members of two components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +34,9 @@ from .common import maybe_in, ship, stage
 from .components import components, shortened
 
 WORDS = 5
-SKETCH = 64
-#: The least share of a sketch that linked documents have in common.
-SHARE = 0.5
+SKETCH = 48
+#: The probability with which a pair at the least similarity may share less of its sketches than is asked for.
+LOST = 1e-9
 #: Values that the key of a list has at most.
 DEPTH = 6
 #: Pivots of a list in the rounds before it is split. No more members than twice that outside the largest component are all pivots.
@@ -46,6 +47,15 @@ AT_ONCE = 8
 CHUNK = 128
 
 
+def share(percent: int) -> float:
+    """The part of a sketch that documents of this similarity have in common, or fewer with a probability of LOST."""
+    p, below, c = percent / 100, 0.0, -1
+    while below <= LOST:
+        c += 1
+        below += math.comb(SKETCH, c) * p**c * (1 - p) ** (SKETCH - c)
+    return c / SKETCH
+
+
 def shingles(text: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a shorter text is one shingle, a wordless one none."""
     for _, _, data, offsets in K.slices(text):
@@ -98,7 +108,7 @@ def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     for k in ("a", "b"):
         near = near.join(reps.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}")), k)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    near = near.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= F.lit(SHARE) * F.size("u"))
+    near = near.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= F.lit(share(percent)) * F.size("u"))
     near = stage(near.select("a", "b"), "neardup-near")
     sets = sets.filter(maybe_in(near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))), "id"))
     both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -112,13 +122,13 @@ def retained(reps: DataFrame, percent: int) -> DataFrame:
     """id, n, own, before, first: of each candidate the retained values that others have too, from the rarest on (df, v),
     how many of its own come before these, and how many of own to list.
 
-    Sets so small that a linked one is retained whole too share percent of their values, others SHARE of their sketch.
+    Sets so small that a linked one is retained whole too share percent of their values, others share() of their sketch.
     """
     values = reps.select("id", F.explode("sketch").alias("v"))
     shared = values.join(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "v")
     own = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))  # SKETCH at most
     size = F.size("sketch")
-    least = F.when(F.col("n") <= percent * SKETCH // 100, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.lit(SHARE) * size)).cast("int")
+    least = F.when(F.col("n") <= percent * SKETCH // 100, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.lit(share(percent)) * size)).cast("int")
     own = own.join(reps.select("id", "n", size.alias("size"), least.alias("least")), "id").filter(F.size("own") >= F.col("least"))
     before = F.col("size") - F.size("own")
     return own.select("id", "n", "own", before.alias("before"), (F.col("size") - F.col("least") - before + 1).alias("first"))
@@ -133,6 +143,14 @@ def chunked(lists: DataFrame, by: DataFrame) -> DataFrame:
     return parts.join(of, ["key", "__chunk"]).drop("__chunk")
 
 
+def shared_enough(sets: DataFrame, percent: int) -> DataFrame:
+    """id of the sets of which at least percent of the values are in others of them: the rest have no link."""
+    values = sets.select("id", F.explode("set").alias("v"))
+    twice = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("v")
+    found = values.join(twice, "v").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    return found.join(sets.select("id", F.size("set").alias("n")), "id").filter(F.col("shared") * 100 >= F.col("n") * percent).select("id")
+
+
 def one_of_equal(lists: DataFrame) -> DataFrame:
     """lists (key, x, df, id, n, at) less those of one member, and of lists with the same members all but the first by x.
 
@@ -160,6 +178,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """node, component of the classes (id) that are linked to others."""
     own = stage(retained(reps, percent), "neardup-retained")
     sets = stage(set_table(docs, own.select("id")), "neardup-sets")
+    own = stage(own.join(shared_enough(sets, percent), "id"), "neardup-candidates")
     lists = stage(listed(own), "neardup-lists")
     spark, listed_rows = docs.sparkSession, lists.count()
     edges = spark.createDataFrame([], "a long, b long")
