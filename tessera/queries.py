@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import queries_sources
 from tessera.session import Engine
 
 #: name -> (dialect, SQL or None); {x} stands for the table x.
@@ -178,8 +179,8 @@ CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey::BIGINT ELSE -1 END AS c, CASE WH
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: runner(n) for n in QUERIES} | {"trigger_counting": trigger_counting, "union_types": union_types}
+    return {n: runner(n) for n in QUERIES} | {"trigger_counting": trigger_counting, "union_types": union_types} | queries_sources.QUERIES
 
 
 def all_sql() -> dict[str, str]:
-    return {n: s for n, (_, s) in QUERIES.items() if s} | {"trigger_counting": TRIGGER_SQL, "union_types": UNION_SQL}
+    return {n: s for n, (_, s) in QUERIES.items() if s} | {"trigger_counting": TRIGGER_SQL, "union_types": UNION_SQL} | queries_sources.SQL

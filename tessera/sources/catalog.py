@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import sys
 from collections.abc import Callable
@@ -70,6 +71,8 @@ class Catalog:
     folder: str | None = None
     #: Functions that this engine has registered, beside or instead of the built-in ones.
     functions: dict[str, Function] = field(default_factory=dict)
+    #: Whether a single growing file has been read.
+    followed: bool = False
     stdin: object = None
     spooled: str | None = None
 
@@ -116,12 +119,19 @@ class Catalog:
             self.spooled = spool(self.spark, self.stdin or sys.stdin.buffer, "stdin")
         return self.spooled
 
+    @staticmethod
+    def whole_lines(path: str) -> list[str]:
+        """The first lines of a growing file, without one that is still being written."""
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return [line for line in itertools.islice(f, SAMPLE) if line.endswith("\n")]
+
     def growing(self, path: str, tail: bool) -> DataFrame | None:
         """number and value of the lines of a single growing file that can be opened; None for all else."""
         own = path.removeprefix("file://")
         if not tail or not os.path.isfile(own):
             return None
         self.spark.dataSource.register(GrowingFile)
+        self.followed = True
         return self.spark.readStream.format(GrowingFile.name()).option("path", own).load()
 
     def scan(self, reader: Callable, path: str, tail: bool) -> DataFrame:
@@ -152,7 +162,7 @@ class Catalog:
         return df, {n: Type(t.kind, True) for n, t in types.items()}
 
     def json(self, path: str, options: dict[str, str], tail: bool) -> tuple[DataFrame, dict[str, Type]]:
-        types = json_types(r[0] for r in self.spark.read.text(path).limit(SAMPLE).collect())
+        types = json_types(self.whole_lines(path) if tail and os.path.isfile(path) else (r[0] for r in self.spark.read.text(path).limit(SAMPLE).collect()))
         types = {n: Type("String", True) if t.kind == "Null" else t for n, t in types.items()}
         if any(has_union(t) for t in types.values()):
             lines = self.growing(path, tail)
