@@ -9,27 +9,32 @@ from tessera.llm.common import read, stage
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and wordless texts fail the base rules and go, whatever their id;
+    repeated rows are judged alike; an empty table stays empty."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the one of the smallest id."""
+    """One document of each group of near duplicates (five words, similarity 0.8): the one of the smallest id, with all
+    its rows. Rows without an id stay; an empty table stays empty."""
     return neardup.drop_near_duplicates(docs, 80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null texts hold none and stay; repeated rows go or stay together; an empty table
+    stays empty."""
     return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target takes it."""
+    """Each document as many times as its source's target takes it. A null source is one of its own, null ids are taken
+    together, repeated rows each; an empty table stays empty."""
     return mixing.apply_mix(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard and slot."""
+    """Adds shard and slot (columns of these names are replaced). Null texts count 8 bytes, repeated rows have a slot each;
+    an empty table gives no rows."""
     return sharding.apply_shards(docs)
 
 
