@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -24,6 +25,11 @@ def rows(df, *cols):
 # mixing
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_matches_sql(spark, name):
+    assert same(queries.QUERIES[name](spark, SF), views(SF), queries.SQL[name]) == ""
+
+
 def test_mixing_matches_sql(spark):
     assert same(queries.op3_mixing(spark, SF), views(SF), mixing.ORACLE) == ""
 
@@ -128,6 +134,27 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert kept.columns == docs.columns and {r[0] for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_verdict_by_brute_force(spark):
+    """Scores from counts of n-grams, text by text, and the verdict from the threshold that the labels set."""
+    df, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r[0]: (r[1] or "").encode() for r in df.select("doc_id", "text").collect()}
+    ratio, threshold = quality.fit(df, labels)
+    hashed = lambda b: (int.from_bytes(b, "little") * 2654435769 % 2**32) >> 16
+    own = {i: [hashed(re.sub(rb"[0-9]", b"0", b)[k : k + 4]) for k in range(len(b) - 3)] for i, b in texts.items()}
+    raw = Counter(g for gs in own.values() for g in gs)
+    target = quality.labelled(labels, True, quality.LABELLED)[::2].tolist()
+    good = Counter(g for i in target if i in own for g in own[i])
+    n, m, width = sum(raw.values()), sum(good.values()), quality.BUCKETS
+    strength = min(width, m / 2)
+    p = lambda g: (raw[g] + 0.5) / (n + 0.5 * width)
+    want = {g: math.log((good[g] + strength * p(g)) / (m + strength) / p(g)) for g in raw}
+    assert all(abs(ratio[g] - x) < 1e-4 for g, x in want.items())
+    for r in quality.judge_all(df, labels).collect():
+        gs = own[r["doc_id"]]
+        score = sum(want[g] for g in gs) / len(gs) if gs else 0.0
+        assert abs(r["score"] - score) < 1e-3 and (abs(score - threshold) < 1e-3 or r["kept"] == (not r["base_failed"] and score >= threshold))
+
+
 def test_quality_odd_tables(odd, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.judge_all(odd, labels)
@@ -147,6 +174,28 @@ def test_language_on_held_out_documents(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
 
 
+def test_language_votes_by_brute_force():
+    """Decisions and votes of each text alone, feature by feature, are those of the slices."""
+    from tessera.llm import langid as L
+
+    rng = np.random.default_rng(2)
+    families = {"f": ["a", "b", "c"], "g": ["d"], "h": ["e", "i"]}
+    decides = [(None, f, "") for f in families] + [("f", "a", "b"), ("f", "a", "c"), ("f", "b", "c"), ("h", "e", "i")]
+    model = L.Model(rng.normal(size=(len(decides), 2 * L.DIM)).astype(np.float32), decides, families, 1.0)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 4)) for _ in range(int(rng.integers(1, 30)))) for _ in range(60)]
+    got, scores = L.predict(model, pa.array(texts))
+    for text, lang, score in zip(texts, got, scores, strict=True):
+        g, _, _ = next(L.feature_slices(pa.array([text])))
+        sums = [sum(float(w[x]) for x in g.tolist()) for w in model.weights]
+        name = max(families, key=lambda f: sums[list(families).index(f)])
+        votes = dict.fromkeys(families[name], 0)
+        for s, (f, a, b) in zip(sums, decides, strict=True):
+            if f == name:
+                votes[a if s > 0 else b] += 1
+        best = max(votes.values())
+        assert votes[lang] == best and 0 <= score <= 1
+
+
 def test_language_never_learns_from_held_out(make):
     train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
