@@ -41,13 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
+    """A new path below the shared folder, for a result that stays."""
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A new path below a folder of this application in the shared folder, which goes when the driver ends."""
+    sc = spark.sparkContext
+    own = getattr(sc, "_tessera_folder", None)
+    if own is None:
+        own = sc._tessera_folder = shared_path(spark, "app")
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_path(df.sparkSession, name)
+    path = passing_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
