@@ -28,6 +28,7 @@ from tessera import sinks
 from tessera.errors import QueryError
 from tessera.session import Engine, Query
 from tessera.sinks import shown, table_text
+from tessera.sources.shared import new_path
 
 COUNTED = ("count", "sum", "avg", "min", "max")
 
@@ -208,15 +209,23 @@ def remainder(q: Query, checkpoint: str) -> DataFrame:
     return picked(q, old.unionAll(now))
 
 
-def poll(engine: Engine, text: str, sink: Callable[[DataFrame, int], None], rounds: int | None = None) -> int:
-    """Reads a finite query again and again; sink gets each snapshot with its time. Returns the number of rounds.
+def poll(engine: Engine, text: str, sink: Callable[[DataFrame, int], None], rounds: int | None = None, changes: bool = False) -> int:
+    """Reads a finite query again and again; sink gets each snapshot with its number. Returns the number of rounds.
 
-    The interval is that of the query's poll(), a second if it has none.
+    The interval is that of the query's poll(), a second if it has none. With changes, sink gets the retractions of the
+    snapshot before and then the rows of the new one (column __retraction), each snapshot being kept in the shared folder.
     """
-    turn = 0
+    turn, before = 0, None
     while rounds is None or turn < rounds:
         q = engine.query(text)
-        sink(q.frame, turn)
+        if changes:
+            path = new_path(engine.spark, "snapshot")
+            q.frame.write.parquet(path)
+            now = engine.spark.read.schema(q.frame.schema).parquet(path).withColumn("__retraction", F.lit(False))
+            sink(now if before is None else before.withColumn("__retraction", F.lit(True)).unionAll(now), turn)
+            before = now
+        else:
+            sink(q.frame, turn)
         turn += 1
         if rounds is None or turn < rounds:
             time.sleep((1_000_000 if q.poll_us is None else q.poll_us) / 1e6)

@@ -89,6 +89,19 @@ def test_poll(spark):
     assert Engine(spark).query("SELECT * FROM poll(source=>TABLE(range(start=>0, end=>3) r), poll_interval=>INTERVAL 10 MILLISECONDS) p").poll_us == 10_000
 
 
+def test_poll_retracts_the_snapshot_before(spark, tmp_path):
+    seen = []
+
+    def look(df, turn):
+        seen.append(sorted((r["k"], r["__retraction"]) for r in df.collect()))
+        spark.range(5 + turn).selectExpr("id AS k").filter("k > 2").write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+
+    spark.range(2).selectExpr("id AS k").write.parquet(str(tmp_path / "t.parquet"))
+    text = f"SELECT p.k FROM poll(source=>TABLE({tmp_path}/t.parquet), poll_interval=>INTERVAL 10 MILLISECONDS) p"
+    assert runner.poll(Engine(spark), text, look, rounds=3, changes=True) == 3
+    assert seen == [[(0, False), (1, False)], [(0, True), (1, True), (3, False), (4, False)], [(3, False), (3, True), (4, False), (4, True), (5, False)]]
+
+
 def test_command_line_follows_growing_tables(spark, tmp_path, capsys):
     from tessera import cli
 
