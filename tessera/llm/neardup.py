@@ -1,27 +1,24 @@
 """Near duplicates by bottom-k sketches of 5-word shingles.
 
-One hash function serves all: a document's sketch is its k smallest shingle hashes,
-the retained values. Equal sets are one class from the start, so copies never meet
-pairwise. Linked documents share a certain part of their retained values, but for a
-binomial tail of at most LOST; a class that shares less with all others together has no
-link, nor has one that has too many values of its full set to itself. The rest, the
-candidates, meet in inverted lists of retained values: with each sketch in one order,
-from the rarest value on, the first value that two have in common is among the first
-`k - least + 1` of both (least: the number they must share), so only these are listed.
-The sketch of the union estimates each pair that meets; the full sets decide.
-
-A list's members are not paired with each other. One pivot is compared with all, and
-what is then in one component needs nothing more; in further rounds of PIVOTS, a few
-pivots from outside the largest component are. A list of which many members stay
-outside after that (documents with a common passage and little else in common) is split
-by the next value that its members share, which is among the first `k - least + 2`, and
-the rounds begin again; so values that very many documents have cost about the rows of
-their lists. This ends when no list has members of two components.
+One hash function serves all: a document's sketch is its k smallest shingle
+hashes. Equal sets are one class from the start, so copies never meet pairwise.
+Inverted lists over the retained values count what classes have in common: a link
+of Jaccard >= 0.8 shares at least SHARE of the sketch (but for a binomial tail of
+3e-8), and a class that shares less with all others together has no link. The rest,
+the candidates, get inverted lists over the rarest values of their full sets (the
+prefix principle, exact) and are paired there, if sizes and the places of the common
+value allow a link; the sketch of the union estimates each pair, and the full sets
+decide.
+
+A list's members are compared with one pivot. What is then in one component needs
+nothing more; only members outside the list's largest component are compared with
+the rest, by one pivot a round, later by more. So a large group of near copies costs about its size, not its square, and
+no link between components is missed, as every member left out of a comparison is
+already in the component of what it would be compared with.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,29 +28,16 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .common import maybe_in, ship, stage
-from .components import components, shortened
+from .components import components
 
 WORDS = 5
-SKETCH = 48
-#: The probability with which a pair at the least similarity may share less of its sketches than is asked for.
-LOST = 1e-9
-#: Values that the key of a list has at most.
-DEPTH = 6
-#: Pivots of a list in the rounds before it is split. No more members than twice that outside the largest component are all pivots.
-PIVOTS = (1, 8, 64)
-#: Comparisons for each row that the lists had at first that are made at once when no more are left.
-AT_ONCE = 8
-#: Rows of a list that one task of a join gets.
-CHUNK = 128
-
-
-def share(percent: int) -> float:
-    """The part of a sketch that documents of this similarity have in common, or fewer with a probability of LOST."""
-    p, below, c = percent / 100, 0.0, -1
-    while below <= LOST:
-        c += 1
-        below += math.comb(SKETCH, c) * p**c * (1 - p) ** (SKETCH - c)
-    return c / SKETCH
+SKETCH = 32
+#: The least share of a sketch that linked documents have in common.
+SHARE = 0.375
+#: Rounds of one pivot a list; in each round after these there are four times as many.
+PIVOTS = 3
+#: Comparisons for each row of the lists up to which what is left is compared at once.
+REST = 8
 
 
 def shingles(text: pa.Array) -> Iterator[np.ndarray]:
@@ -104,13 +88,10 @@ def set_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have a Jaccard of at least percent / 100."""
-    near = pairs
-    for k in ("a", "b"):
-        near = near.join(reps.select(F.col("id").alias(k), F.col("sketch").alias(f"s{k}")), k)
+    sk = reps.select(F.col("id"), "sketch")
+    near = pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    near = near.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= F.lit(share(percent)) * F.size("u"))
-    near = stage(near.select("a", "b"), "neardup-near")
-    sets = sets.filter(maybe_in(near.select(F.col("a").alias("doc")).unionByName(near.select(F.col("b").alias("doc"))), "id"))
+    near = near.withColumn("u", union).filter(F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= F.lit(SHARE) * F.size("u")).select("a", "b")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
     # in the JVM, a row at a time: sets of very long texts would make large Arrow batches
@@ -118,108 +99,80 @@ def verify(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     return both.filter(common * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def retained(reps: DataFrame, percent: int) -> DataFrame:
-    """id, n, own, before, first: of each candidate the retained values that others have too, from the rarest on (df, v),
-    how many of its own come before these, and how many of own to list.
+def shared_values(values: DataFrame) -> DataFrame:
+    """values (id, v) -> id, v, df of the values that others have too."""
+    return values.join(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "v")
 
-    Sets so small that a linked one is retained whole too share percent of their values, others share() of their sketch.
-    """
-    values = reps.select("id", F.explode("sketch").alias("v"))
-    shared = values.join(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "v")
-    own = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))  # SKETCH at most
-    size = F.size("sketch")
-    least = F.when(F.col("n") <= percent * SKETCH // 100, F.ceil(F.col("n") * percent / 100)).otherwise(F.ceil(F.lit(share(percent)) * size)).cast("int")
-    own = own.join(reps.select("id", "n", size.alias("size"), least.alias("least")), "id").filter(F.size("own") >= F.col("least"))
-    before = F.col("size") - F.size("own")
-    return own.select("id", "n", "own", before.alias("before"), (F.col("size") - F.col("least") - before + 1).alias("first"))
-
-
-def chunked(lists: DataFrame, by: DataFrame) -> DataFrame:
-    """lists (key, df, id, ...) joined with by (key, df, ...) on the key. A value of a list is in df classes at most, so
-    df says on both sides into how many chunks the rows of a key are dealt."""
-    chunks = F.floor(F.col("df") / CHUNK)
-    parts = lists.withColumn("__chunk", F.pmod(F.xxhash64("id"), 1 + chunks))
-    of = by.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks))).drop("df")
-    return parts.join(of, ["key", "__chunk"]).drop("__chunk")
 
+def candidates(reps: DataFrame) -> DataFrame:
+    """id of the classes that share enough of their sketch with others to have a link at all."""
+    shared = shared_values(reps.select("id", F.explode("sketch").alias("v"))).groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    least = F.greatest(F.lit(1), F.floor(F.lit(SHARE) * F.size("sketch")))
+    return shared.join(reps.select("id", "sketch"), "id").filter(F.col("shared") >= least).select("id")
 
-def shared_enough(sets: DataFrame, percent: int) -> DataFrame:
-    """id of the sets of which at least percent of the values are in others of them: the rest have no link."""
-    values = sets.select("id", F.explode("set").alias("v"))
-    twice = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("v")
-    found = values.join(twice, "v").groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
-    return found.join(sets.select("id", F.size("set").alias("n")), "id").filter(F.col("shared") * 100 >= F.col("n") * percent).select("id")
 
+def inverted_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """v, id, n, p: each candidate in the inverted lists of its prefix, with the place of v among its values.
 
-def one_of_equal(lists: DataFrame) -> DataFrame:
-    """lists (key, x, df, id, n, at) less those of one member, and of lists with the same members all but the first by x.
-
-    The list of the first values that a pair shares stays, as no list before it holds both.
+    A set's values are ordered from the rarest on, those of no one else first. A linked
+    set has at least percent of them in common with the other, so one of the first
+    n - ceil(percent n) + 1. Lists of equal members propose equal pairs: the first in
+    that order stays.
     """
-    by = lists.groupBy("key", "df").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("s2")).filter("k > 1")
-    first = by.groupBy("k", "s1", "s2").agg(F.min(F.struct("x", "key")).alias("y")).select("y.key", F.col("y.x.df").alias("df"))
-    return chunked(lists, first).select("key", "df", "id", "n", "at")
-
-
-def listed(own: DataFrame) -> DataFrame:
-    """key, df, id, n, at: the lists of single values; at is the place of the value in own."""
-    each = own.select("id", "n", F.posexplode(F.slice("own", 1, F.greatest("first", F.lit(0)))).alias("at", "x"))
-    return one_of_equal(each.select(F.col("x.v").alias("key"), "x", F.col("x.df").alias("df"), "id", "n", "at"))
+    own = shared_values(sets.select("id", F.explode("set").alias("v"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("own"))  # as many as a text's values at most
+    own = own.join(sets.select("id", F.size("set").alias("n")), "id").withColumn("u", F.col("n") - F.size("own"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("u")).cast("int")
+    lists = own.filter(prefix > 0).select("id", "n", "u", F.posexplode(F.slice("own", 1, prefix)).alias("at", "x")).select("x.df", "x.v", "id", "n", (F.col("u") + F.col("at")).alias("p"))
+    by = lists.groupBy("df", "v").agg(F.min("n").alias("nm"), F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("s2")).filter("k > 1")
+    first = by.groupBy("k", "s1", "s2").agg(F.min(F.struct("df", "v")).alias("x"), F.min("nm").alias("nm"))
+    # no member of the list reaches a link with more values behind it
+    smallest = F.greatest(F.col("nm"), F.col("n") * percent / 100)
+    return lists.join(first.select("x.v", "nm"), "v").filter((F.col("n") - F.col("p")) * (100 + percent) >= percent * (F.col("n") + smallest)).select("v", "id", "n", "p")
 
 
-def split(lists: DataFrame, own: DataFrame, depth: int) -> DataFrame:
-    """The same for keys of one value more, now of `depth` values."""
-    far = own.select("id", F.slice("own", 1, F.col("first") + depth - 1).alias("own"))
-    each = lists.select("key", "id", "n", "at").join(far, "id").select("key", "id", "n", "at", F.posexplode("own").alias("to", "x")).filter("to > at")
-    return one_of_equal(each.select(F.xxhash64("key", "x.v").alias("key"), "x", F.col("x.df").alias("df"), "id", "n", F.col("to").alias("at")))
+def possible(percent: int) -> Column:
+    """Whether a pair whose first common value is the list's can be linked: it has no more in common than what follows."""
+    most = F.least(F.col("n") - F.col("p"), F.col("on") - F.col("op"))
+    return most * (100 + percent) >= percent * (F.col("n") + F.col("on"))
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """node, component of the classes (id) that are linked to others."""
-    own = stage(retained(reps, percent), "neardup-retained")
-    sets = stage(set_table(docs, own.select("id")), "neardup-sets")
-    own = stage(own.join(shared_enough(sets, percent), "id"), "neardup-candidates")
-    lists = stage(listed(own), "neardup-lists")
-    spark, listed_rows = docs.sparkSession, lists.count()
+    sets = stage(set_table(docs, candidates(reps)), "neardup-sets")
+    lists = stage(inverted_lists(sets, percent), "neardup-lists")
+    spark = docs.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
-    depth, turn, more_pivots = 1, 0, 1
+    comp = spark.createDataFrame([], "node long, component long")
+    turn = 0
     while True:
-        pivots = more_pivots * PIVOTS[turn]
-        comp = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-        now = lists.join(comp, F.col("id") == F.col("node"), "left").select("key", "df", "id", "n", "at", F.coalesce("component", "id").alias("c"))
-        by = now.groupBy("key", "df", "c").agg(F.count(F.lit(1)).alias("k"))
-        open_ = by.groupBy("key", "df").agg(F.max_by("c", F.struct("k", F.xxhash64("c"))).alias("main"), (F.sum("k") - F.max("k")).alias("outside")).filter("outside > 0")
-        now = stage(chunked(now, open_), "neardup-open")
-        rows, work = now.agg(F.count(F.lit(1)), F.sum("outside")).first()
+        now = lists.join(comp, F.col("id") == F.col("node"), "left").select("v", "id", "n", "p", F.coalesce("component", "id").alias("c"))
+        by = now.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k"))
+        open_ = by.groupBy("v").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        now = stage(now.join(open_, "v").select("v", "id", "n", "p", "c", "main", "all", "most"), "neardup-open")
+        rows, work = now.agg(F.count(F.lit(1)), F.sum(F.col("all") - F.col("most"))).first()
         if not rows:
-            return components(edges)
-        # all that is left at once, if that is work in proportion to the rows that the lists had at first
-        last = work <= AT_ONCE * listed_rows
-        few = F.lit(True) if last else F.col("outside") <= 2 * pivots
-        out = now.filter("c <> main")
-        # by a hash of the id, so that the same document is the pivot of most of the lists that it is in
-        rank = F.struct(F.xxhash64("id").alias("h"), "id", "n", "c")
-        some = out.filter(~few).groupBy("key", "df").agg(F.min(rank).alias("o")).select("key", "df", "o.id", "o.n", "o.c")
-        if pivots > 1:
-            more = out.filter(~few & (F.pmod(F.xxhash64("id", F.lit(pivots)), F.greatest(F.lit(1), F.floor(F.col("outside") / pivots))) == 0))
-            some = some.unionByName(more.select("key", "df", "id", "n", "c")).distinct()
-        o = out.filter(few).select("key", "df", "id", "n", "c").unionByName(some).select("key", "df", F.col("id").alias("o"), F.col("n").alias("on"), F.col("c").alias("oc"))
-        met = chunked(now, o).filter((F.col("c") != F.col("oc")) & (F.least("n", "on") * 100 >= F.lit(percent) * F.greatest("n", "on")))
+            break
+        last = turn > 0 and work <= REST * rows
+        outside = now.filter("c <> main")
+        if not last:
+            # one pivot a list, outside the largest component: the one with the fewest rarer values
+            pivots = outside.groupBy("v").agg(F.min_by(F.struct("id", "n", "p", "c"), F.struct("p", "id")).alias("x")).select("v", "x.*")
+            if turn >= PIVOTS:
+                times = 4 ** (turn - PIVOTS + 1)
+                some = outside.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1), F.floor((F.col("all") - F.col("most")) / times))) == 0)
+                pivots = pivots.unionByName(some.select("v", "id", "n", "p", "c")).distinct()
+            outside = pivots
+        o = outside.select("v", F.col("id").alias("o"), F.col("n").alias("on"), F.col("p").alias("op"), F.col("c").alias("oc"))
+        met = now.join(o, "v").filter((F.col("c") != F.col("oc")) & possible(percent))
         met = met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-        edges = verify(met, reps, sets, percent).unionByName(edges)
+        edges = stage(verify(met, reps, sets, percent).unionByName(edges), "neardup-links")
+        comp = components(edges)
         if last:
-            return components(edges)
-        # part of the way to the components will do here
-        edges = shortened(edges, 2)
-        # what has met all of a list leaves it; a list of which all outsiders have is done
-        left = now.filter(~few).join(some.select("key", "id"), ["key", "id"], "left_anti").select("key", "df", "id", "n", "at")
-        lists, turn = left, (turn + 1) % len(PIVOTS)
-        if turn == 0 and depth < DEPTH:
-            depth += 1
-            lists = stage(split(left, own, depth), "neardup-lists")
-        elif turn == 0:
-            # nothing more to split by: members that share so much are compared after all, more in each round
-            more_pivots *= 512
+            break
+        turn += 1
+        # a pivot has met all of its list; lists in one component stay so
+        lists = now.join(o.select("v", F.col("o").alias("id")), ["v", "id"], "left_anti").select("v", "id", "n", "p")
+    return comp
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
