@@ -34,8 +34,8 @@ WORDS = 5
 SKETCH = 32
 #: The least share of a sketch that linked documents have in common.
 SHARE = 0.375
-#: Rounds of one pivot a list; in each round after these there are four times as many.
-PIVOTS = 3
+#: Rounds of one pivot a list; in each round after these there are MORE times as many.
+PIVOTS, MORE = 3, 64
 #: Comparisons for each row of the lists up to which what is left is compared at once.
 REST = 8
 
@@ -158,7 +158,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             # one pivot a list, outside the largest component: the one with the fewest rarer values
             pivots = outside.groupBy("v").agg(F.min_by(F.struct("id", "n", "p", "c"), F.struct("p", "id")).alias("x")).select("v", "x.*")
             if turn >= PIVOTS:
-                times = 4 ** (turn - PIVOTS + 1)
+                times = MORE ** (turn - PIVOTS + 1)
                 some = outside.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.greatest(F.lit(1), F.floor((F.col("all") - F.col("most")) / times))) == 0)
                 pivots = pivots.unionByName(some.select("v", "id", "n", "p", "c")).distinct()
             outside = pivots
