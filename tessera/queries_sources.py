@@ -250,7 +250,7 @@ def sink_stream_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_rows(spark, (x.rstrip("\n") for x in sinks.stream_lines(q)))
 
 
-@query("SELECT place, line FROM (VALUES (0, '+---+-------+'), (1, '| i |   s   |'), (2, '+---+-------+'), (3, '| 2 | ''no 2'' |'), (4, '| 1 | ''no 1'' |'), (5, '+---+-------+')) v(place, line)")
+@query("SELECT place, line FROM (VALUES (0, '+---+--------+'), (1, '| i |   s    |'), (2, '+---+--------+'), (3, '| 2 | ''no 2'' |'), (4, '| 1 | ''no 1'' |'), (5, '+---+--------+')) v(place, line)")
 def sink_batch_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = Engine(spark).query("SELECT i, 'no ' + string(i) AS s FROM range(start=>1, end=>3) r ORDER BY i DESC")
     return of_rows(spark, sinks.batch_table(q).splitlines())
