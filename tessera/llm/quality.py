@@ -1,9 +1,9 @@
 """Quality rules: base counts, then a hashed n-gram log-likelihood ratio.
 
 Byte 4-grams are hashed into a fixed number of buckets. Two multinomials are
-counted over them: the raw corpus (every document) and a trusted target (labelled
-good documents). A document's score is the mean log ratio of its n-grams, so
-length does not matter. The threshold comes from labelled documents that the
+counted over them: the raw corpus (every document) and a trusted target (every other
+labelled good document). A document's score is the mean log ratio of its n-grams, so
+length does not matter. The threshold comes from all labelled documents that the
 target was not fitted on, and every document is judged by it.
 """
 
@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from . import kernel as K
-from .common import hash_limit, ship
+from .common import maybe_in, ship, stage
 
 BUCKETS = 1 << 16
 GRAM = 4
-#: At most so many labelled documents of each class shape the target and the threshold; all documents shape the raw counts.
+#: At most so many ids of labelled documents of a class are brought to the driver to look at.
 LABELLED = 20_000
+#: At most so many scores come to the driver; of more, histograms of so many slots find the ranks that are wanted.
+COLLECTED = 1 << 14
+SLOTS = 1 << 12
+#: Log ratios are whole multiples of one over this.
+RATIO_UNIT = 1 << 20
 #: The share of trusted held-back documents that the threshold may cost.
 LOSS = 0.001
 SYMBOLS = np.zeros(256, bool)
@@ -96,57 +101,94 @@ def base_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
 def scores(data: np.ndarray, offsets: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     """Mean log ratio of each text's n-grams; 0 without any."""
     h, bounds = grams(data, offsets)
-    total = np.concatenate([[0.0], np.cumsum(ratio[h])])
+    total = np.concatenate([[0.0], np.cumsum(ratio[h], dtype=np.float64)])
     n = np.diff(bounds)
     return np.where(n > 0, (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1), 0.0)
 
 
 def labelled(labels: DataFrame, good: bool, most: int) -> np.ndarray:
-    """Ids of at most `most` labelled documents, chosen by a hash of the id."""
-    own = labels.filter((F.col("quality") == 1) if good else (F.col("quality") == 0)).filter(F.col("doc_id").isNotNull())
-    # a few times the sample by the same hash, so that little is sorted, however many labels there are
-    few = own.select("doc_id").filter(F.xxhash64("doc_id") <= hash_limit(4 * most / max(1, own.count())))
-    own = few.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return np.sort(np.array([r[0] for r in own.collect()], np.int64))
+    """The first `most` ids of a class in ascending order, brought to the driver to look at; `fit` takes every label."""
+    return np.array([r[0] for r in of_class(labels, good).orderBy("doc").limit(most).collect()], np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, loss: float = LOSS) -> tuple[np.ndarray, float]:
-    """The log ratio of each bucket and the threshold below which a document is rejected.
+def of_class(labels: DataFrame, good: bool) -> DataFrame:
+    """The ids (doc) of all labelled documents of a class, each once."""
+    own = labels.filter(F.col("quality") == (1 if good else 0)).select(F.col("doc_id").cast("long").alias("doc"))
+    return own.filter("doc IS NOT NULL").distinct()
 
-    Half of the good sample shapes the target; the other half and the bad sample set
-    the threshold, halfway between the least good scores and the bad ones below them
-    (documents that the base rules reject anyway don't count). The least good score is
-    taken, or the one at `loss` if bad documents reach beyond it, as clean documents
-    must stay. Without good labels nothing is rejected.
-    """
-    ship(docs.sparkSession)
-    good, bad = labelled(labels, True, most), labelled(labels, False, most)
-    target, held = good[::2], good[1::2] if len(good) > 1 else good
 
+def halves(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every other id in ascending order, and those between; of a single id both have it."""
+    ranged = ids.repartitionByRange("doc").sortWithinPartitions("doc")
+    # the number of the part is above the lower 33 bits, those count its rows; staged, as another run may cut other parts
+    own = stage(ranged.select("doc", F.monotonically_increasing_id().alias("at")), "quality-good")
+    part = F.shiftright("at", 33)
+    odd, total = [], 0
+    # one row per part comes to the driver
+    for p, n in sorted(own.groupBy(part.alias("part")).count().collect()):
+        odd += [p] * (total % 2)
+        total += n
+    second = (F.col("at") % 2 == 1) != part.isin(odd)
+    return own.filter(~second).select("doc"), own.filter(second if total > 1 else F.lit(True)).select("doc")
+
+
+def bucket_counts(docs: DataFrame) -> np.ndarray:
+    """How often each bucket's n-grams occur in the texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, own = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        own = np.zeros(BUCKETS, np.int64)
         for x in batches:
-            ids = x.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            trusted = np.isin(ids, target) & ~np.asarray(x.column("doc_id").is_null())
-            for i, j, data, offsets in K.slices(x.column("text")):
-                h, bounds = grams(data, offsets)
-                raw += np.bincount(h, minlength=BUCKETS)
-                if (mine := trusted[i:j]).any():
-                    own += np.bincount(h[np.repeat(mine, np.diff(bounds))], minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(own[at])], ["bucket", "raw", "own"])
+            for _, _, data, offsets in K.slices(x.column("text")):
+                own += np.bincount(grams(data, offsets)[0], minlength=BUCKETS)
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own[at])], ["bucket", "n"])
 
     # one row per bucket, a fixed number, comes to the driver
-    counts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, "bucket long, raw long, own long").groupBy("bucket").agg(F.sum("raw"), F.sum("own")).collect()
-    raw, own = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, r, o in counts:
-        raw[b], own[b] = r, o
+    out = np.zeros(BUCKETS)
+    for b, n in docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        out[b] = n
+    return out
+
+
+def at_rank(scores: DataFrame, k: int, most: int = COLLECTED) -> float:
+    """The score at rank k (from 0, ascending), exact: histograms between the least and the largest score pick the slot
+    that holds it, until at most `most` scores are left or all are equal."""
+    while True:
+        n, low, high = scores.agg(F.count("score"), F.min("score"), F.max("score")).first()
+        if low == high:
+            return low
+        if n <= most:
+            return sorted(r[0] for r in scores.select("score").collect())[k]
+        slot = F.least(F.floor((F.col("score") - low) / (high - low) * SLOTS), F.lit(SLOTS - 1))
+        for s, c in sorted(scores.groupBy(slot.alias("slot")).count().collect()):
+            if k < c:
+                break
+            k -= c
+        scores = scores.filter(slot == s)
+
+
+def fit(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> tuple[np.ndarray, float]:
+    """The log ratio of each bucket and the threshold below which a document is rejected.
+
+    Every label is used. Half of the good documents shape the target; the other half
+    and all bad ones set the threshold, halfway between the least good scores and the
+    bad ones below them (documents that the base rules reject anyway don't count). The
+    least good score is taken, or the one at `loss` if bad documents reach beyond it,
+    as clean documents must stay. Without good labels nothing is rejected.
+    """
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    target, held = halves(of_class(labels, True))
+    # the filter spares most texts the exchange, the join decides
+    trusted = docs.filter("doc_id IS NOT NULL").filter(maybe_in(target, "doc_id")).join(target, F.col("doc_id") == F.col("doc"), "left_semi")
+    own = bucket_counts(trusted)
     if not own.sum():
         return np.zeros(BUCKETS, np.float32), -np.inf
+    raw = bucket_counts(docs)
     p = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
     strength = min(float(BUCKETS), own.sum() / 2)
     q = (own + strength * p) / (own.sum() + strength)
-    ratio = np.log(q / p).astype(np.float32)
+    # sums of such multiples are exact in doubles, so a text scores the same in every batch
+    ratio = (np.round(np.log(q / p) * RATIO_UNIT) / RATIO_UNIT).astype(np.float32)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -154,20 +196,22 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, loss: float =
             own = pa.array(f["kept"])
             yield pa.RecordBatch.from_arrays([x.column("doc_id").filter(own), pa.array(f["score"]).filter(own)], ["doc_id", "score"])
 
-    spark = docs.sparkSession
-    sample = spark.createDataFrame([(int(i), True) for i in held] + [(int(i), False) for i in bad], "l_id long, good boolean")
-    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"), "left_semi")  # at most 2 * most ids
-    found = chosen.mapInArrow(judge, "doc_id long, score double").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("good", "score").collect()
-    ok = np.sort([s for g, s in found if g])
-    no = np.sort([s for g, s in found if not g])
-    if not len(ok):
+    sample = held.withColumn("good", F.lit(True)).unionAll(of_class(labels, False).withColumn("good", F.lit(False)))
+    # scores are exchanged, no texts
+    judged = docs.filter("doc_id IS NOT NULL").filter(maybe_in(sample, "doc_id")).mapInArrow(judge, "doc_id long, score double")
+    found = stage(judged.join(sample, F.col("doc_id") == F.col("doc")).select("good", "score"), "quality-scores")
+    ok, no = found.filter("good").select("score"), found.filter("NOT good").select("score")
+    n, least = ok.agg(F.count("score"), F.min("score")).first()
+    if not n:
         return ratio, -np.inf
-    low = ok[int(loss * len(ok))]
-    under = no[no < low]
-    if not len(under):
-        return ratio, float(ok[0])
-    high = np.quantile(under, 0.95)
-    return ratio, float((high + (ok[0] if ok[0] > high else low)) / 2)
+    low = at_rank(ok, int(loss * n))
+    under = no.filter(F.col("score") < low)
+    m = under.count()
+    if not m:
+        return ratio, least
+    at = 0.95 * (m - 1)
+    high = np.quantile([at_rank(under, int(at)), at_rank(under, min(int(at) + 1, m - 1))], at % 1)
+    return ratio, float((high + (least if least > high else low)) / 2)
 
 
 def features(text: pa.Array, ratio: np.ndarray, threshold: float) -> dict[str, np.ndarray]:

@@ -155,6 +155,42 @@ def test_quality_verdict_by_brute_force(spark):
         assert abs(r["score"] - score) < 1e-3 and (abs(score - threshold) < 1e-3 or r["kept"] == (not r["base_failed"] and score >= threshold))
 
 
+def test_quality_uses_every_label(spark, make):
+    """More labels than any sample took: the target has every other good document, all others set the threshold."""
+    n = 24_000
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = {7 * i: " ".join(word((i + 1) * k * 7919 + (k * 31 if i % 16 else 0)) for k in range(1, 13)) for i in range(n)}
+    docs = make(*texts.items()).repartition(8)
+    marks = {i: int(i % 16 != 0) for i in texts}
+    labels = spark.createDataFrame([*((i, q) for i, q in marks.items()), (0, 0), (7, 1), (None, 1), (3, 1)], "doc_id long, quality int")
+    ratio, threshold = quality.fit(docs, labels)
+    good = sorted([i for i, q in marks.items() if q] + [3])
+    assert len(good) > quality.LABELLED
+    buckets = lambda ids: np.bincount(quality.grams(*next(quality.K.slices(pa.array([texts[i] for i in ids if i in texts]), 1 << 30))[2:])[0], minlength=quality.BUCKETS)
+    raw, own = buckets(texts), buckets(good[::2])
+    p = (raw + 0.5) / (raw.sum() + 0.5 * quality.BUCKETS)
+    strength = min(quality.BUCKETS, own.sum() / 2)
+    assert np.allclose(ratio, np.log((own + strength * p) / (own.sum() + strength) / p), atol=1e-5)
+    score = {r["doc_id"]: r["score"] for r in quality.judge_all(docs, labels).filter("NOT base_failed").collect()}
+    ok = np.sort([score[i] for i in good[1::2] if i in score])
+    no = np.array([score[i] for i, q in marks.items() if not q and i in score])
+    low = ok[int(quality.LOSS * len(ok))]
+    high = np.quantile(no[no < low], 0.95) if (no < low).any() else None
+    assert threshold == pytest.approx(ok[0] if high is None else (high + (ok[0] if ok[0] > high else low)) / 2, abs=1e-12)
+
+
+def test_quality_halves_and_ranks(spark):
+    for ids in ([], [5], [9, 2], [*range(-50, 1000, 7)]):
+        own = spark.createDataFrame([(i,) for i in ids], "doc long").repartition(3)
+        first, second = ([r[0] for r in x.orderBy("doc").collect()] for x in quality.halves(own))
+        assert first == sorted(ids)[::2] and second == (sorted(ids)[1::2] if len(ids) > 1 else ids)
+    rng = np.random.default_rng(5)
+    values = [*rng.normal(size=300).tolist(), *[0.25] * 100, 1e9, -1e-9, 0.0]
+    scores = spark.createDataFrame([(x,) for x in values], "score double")
+    for k in (0, 1, 150, 200, 250, len(values) - 2, len(values) - 1):
+        assert quality.at_rank(scores, k, 3) == quality.at_rank(scores, k) == sorted(values)[k]
+
+
 def test_quality_odd_tables(odd, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.judge_all(odd, labels)
